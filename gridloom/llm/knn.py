@@ -94,7 +94,7 @@ def _bounds(pivots, cells, near, qcells, k: int, block: int):
         for j, (_, radius) in cells.items():
             wanted = [gap[i, j] - qcells[i][1] - theta[i] - slack for i in members if gap[i, j] - qcells[i][1] - radius <= theta[i] + slack]
             if wanted:
-                need[j].append((g, max(0.0, min(wanted))))
+                need[j].append((g, float(max(0.0, min(wanted)))))
     assert n or not cells
     return groups, need
 
@@ -147,13 +147,13 @@ def search(data: DataFrame, queries: DataFrame, k: int = 5, pivots: int = 64, qu
     parts = [max(1, math.ceil(sum(qcells[i][0] for i in m) / query_block)) for m in groups]
 
     plan = spark.createDataFrame(
-        [(j, g, least, salts[g], parts[g]) for j, wanted in need.items() for g, least in wanted], "cell int, grp int, least double, salts int, parts int"
+        [(int(j), g, least, salts[g], parts[g]) for j, wanted in need.items() for g, least in wanted], "cell int, grp int, least double, salts int, parts int"
     )
     routed = (
         placed.join(F.broadcast(plan), "cell").filter("dist >= least")
         .select("id", "vec", "grp", (F.pmod(F.xxhash64("id"), F.col("salts"))).cast("int").alias("salt"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     )
-    where = spark.createDataFrame([(i, g, salts[g], parts[g]) for g, m in enumerate(groups) for i in m], "cell int, grp int, salts int, parts int")
+    where = spark.createDataFrame([(int(i), g, salts[g], parts[g]) for g, m in enumerate(groups) for i in m], "cell int, grp int, salts int, parts int")
     spread = (
         asked.join(F.broadcast(where), "cell")
         .select("id", "vec", "grp", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"))

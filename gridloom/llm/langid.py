@@ -139,7 +139,7 @@ class LanguageModel:
         return names, score
 
 
-def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 1200, min_share: float = 0.0) -> LanguageModel:
+def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 1000) -> LanguageModel:
     """Train on at most per_language rows of each language, taken in hash order of the id.
 
     Only the chosen ids travel before the texts are read, and at most per_language rows of
