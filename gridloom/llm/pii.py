@@ -324,6 +324,9 @@ def redact(found: DataFrame, text_col: str = "text") -> DataFrame:
 
         out = []
         for t, row in zip(text, spans):
+            if t is None or not len(row):
+                out.append(t)
+                continue
             parts, at = [], 0
             for s in row:
                 if s["end"] <= at:

@@ -359,7 +359,10 @@ def _solve(contexts: DataFrame, span: int, gram: int) -> DataFrame:
 
         def out():
             key, doc, pos, left, ctx = zip(*held)
-            order = np.lexsort((pos, doc))
+            order = np.lexsort((pos, doc, key))
+            alike = [np.array(c)[order] for c in (key, doc, pos)]  # rows that share an id are one place
+            order = order[np.concatenate(([True], np.any([c[1:] != c[:-1] for c in alike], axis=0)))]
+            order = order[np.lexsort((np.array(pos)[order], np.array(doc)[order]))]
             doc, pos, left = np.array(doc)[order], np.array(pos)[order], np.array(left)[order]
             low, high = repeated([ctx[i] for i in order], left, span, gram)
             hit = low >= 0
