@@ -143,7 +143,8 @@ def _nearest(probe: Probe, target: DataFrame, box, points: tuple[Column, Column]
     level = extent.floor_level(max(1.0, k / 2))
     placed = probe.df.withColumns({"_cx": cell(probe.x, F.lit(level)), "_cy": cell(probe.y, F.lit(level))})
     cells = placed.select("_cx", "_cy").distinct()
-    radius = _search_radius(cells, target.select(points[0].alias("_px"), points[1].alias("_py")), extent, k, level)
+    # one row per occupied cell, read by the level statistics and by the join
+    radius = _search_radius(cells, target.select(points[0].alias("_px"), points[1].alias("_py")), extent, k, level).persist()
     s = F.lit(2.0**level)
     reach = radius.select(
         F.col("_cx").alias("_kx"), F.col("_cy").alias("_ky"), "_r", (F.col("_cx") * s - F.col("_r")).alias("_x0"), (F.col("_cy") * s - F.col("_r")).alias("_y0"),

@@ -310,16 +310,16 @@ def polygon_areas(spark, d):
 
 
 def hull_sql(points: str, keys: str) -> str:
-    """Hull areas of points (keys..., x, y): a directed pair is an edge if no point lies right of it and collinear ones lie between."""
+    """Hull areas of points (keys..., x, y in hundredths): a directed pair is an edge if no point lies right of it and collinear ones lie between."""
     ks = [k.strip() for k in keys.split(",")]
     same = lambda a, b: " and ".join(f"{a}.{k} = {b}.{k}" for k in ks)
     cross = "(b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x)"
     dot = "(b.x - a.x) * (c.x - a.x) + (b.y - a.y) * (c.y - a.y)"
     size = "(b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y)"
-    return f"""(with pt as (select distinct {keys}, x, y from ({points})),
+    return f"""(with pt as (select distinct {keys}, cast(round(x * 100) as bigint) x, cast(round(y * 100) as bigint) y from ({points})),
     e as (select {', '.join('a.' + k for k in ks)}, a.x ax, a.y ay, b.x bx, b.y b_y from pt a join pt b on {same('a', 'b')} and (a.x <> b.x or a.y <> b.y) join pt c on {same('a', 'c')}
           group by all having bool_and({cross} > 0 or ({cross} = 0 and {dot} between 0 and {size})))
-    select {keys}, sum(ax * b_y - bx * ay) / 2 area from e group by {keys})"""
+    select {keys}, cast(sum(ax * b_y - bx * ay) as double) / 20000 area from e group by {keys})"""
 
 
 @register(rounded_sql(f"select custkey, area from {hull_sql(f'select custkey, dx x, dy y from ({T}) where custkey % 7 = 0', 'custkey')}", ["custkey"], ["area"], 6))
