@@ -91,10 +91,6 @@ def edge_array(edges) -> np.ndarray:
 def _relate(a: pd.Series, b: pd.Series) -> pd.DataFrame:
     meets, area = [], []
     for x, y in zip(a, b):
-        if x is None or y is None:  # rectangles, settled by Columns
-            meets.append(True)
-            area.append(0.0)
-            continue
         p, q = edge_array(x), edge_array(y)
         hit = intersects(p, q)
         meets.append(hit)

@@ -108,9 +108,10 @@ def _search_radius(cells: DataFrame, points: DataFrame, extent: Extent, k: int,
     """cells (_cx, _cy at level) with _r: no probe of the cell has its k-th neighbour farther away.
 
     points (_px, _py) stand for the targets: each target lies within any distance that its
-    point does. Counts of points on ever coarser grids give, for each cell, the smallest
-    ancestor with k of them; all of those are within its diagonal. A cell whose ancestors
-    hold fewer than k takes the distance to the farthest corner of the extent.
+    point does. Counts of points on ever coarser grids give, for each cell, the finest level on
+    which the block of 3 x 3 cells around its ancestor holds k of them; all of those are
+    within two cell diagonals. A cell without such a block takes the distance to the farthest
+    corner of the extent.
     """
     size = lambda lv: F.pow(F.lit(2.0), lv)
     side = max(extent.x1 - extent.x0, extent.y1 - extent.y0)
@@ -120,7 +121,10 @@ def _search_radius(cells: DataFrame, points: DataFrame, extent: Extent, k: int,
     grid = points.groupBy(cell(F.col("_px"), F.lit(level)).alias("gx"), cell(F.col("_py"), F.lit(level)).alias("gy")).agg(F.count("*").alias("n"))
     up = grid.select(F.explode(F.sequence(F.lit(level), F.lit(top))).alias("gl"), "gx", "gy", "n")
     shift = lambda c: F.floor(F.col(c) / size(F.col("gl") - level)).cast("long")
-    pyramid = up.select("gl", shift("gx").alias("gx"), shift("gy").alias("gy"), "n").groupBy("gl", "gx", "gy").agg(F.sum("n").alias("n")).filter(F.col("n") >= k)
+    counts = up.select("gl", shift("gx").alias("gx"), shift("gy").alias("gy"), "n").groupBy("gl", "gx", "gy").agg(F.sum("n").alias("n"))
+    step = F.explode(F.array(*[F.lit(v) for v in (-1, 0, 1)]))
+    around = counts.withColumn("ox", step).withColumn("oy", step).select("gl", (F.col("gx") + F.col("ox")).alias("gx"), (F.col("gy") + F.col("oy")).alias("gy"), "n")
+    pyramid = around.groupBy("gl", "gx", "gy").agg(F.sum("n").alias("n")).filter(F.col("n") >= k)
     asked = cells.select("_cx", "_cy", F.explode(F.sequence(F.lit(level), F.lit(top))).alias("gl")).select(
         "_cx", "_cy", "gl", F.floor(F.col("_cx") / size(F.col("gl") - level)).cast("long").alias("gx"), F.floor(F.col("_cy") / size(F.col("gl") - level)).cast("long").alias("gy"))
     best = asked.join(pyramid, ["gl", "gx", "gy"]).groupBy("_cx", "_cy").agg(F.min("gl").alias("gl"))
@@ -129,18 +133,21 @@ def _search_radius(cells: DataFrame, points: DataFrame, extent: Extent, k: int,
     far_x = F.greatest(F.abs(x0 - extent.x1), F.abs(x0 + s - extent.x0), F.abs(x0 - extent.x0), F.abs(x0 + s - extent.x1))
     far_y = F.greatest(F.abs(y0 - extent.y1), F.abs(y0 + s - extent.y0), F.abs(y0 - extent.y0), F.abs(y0 + s - extent.y1))
     far = F.sqrt(far_x * far_x + far_y * far_y)
-    diagonal = size(F.col("gl")) * 2**0.5
+    diagonal = size(F.col("gl")) * (2 * 2**0.5)
     return cells.join(best, ["_cx", "_cy"], "left").select("_cx", "_cy", (F.least(F.coalesce(diagonal, far), far) * (1 + 1e-9)).alias("_r"))
 
 
-def _nearest(probe: Probe, target: DataFrame, box, points: tuple[Column, Column], measure: Column, bound: Column, k: int, tie: list[Column]) -> DataFrame:
+def _nearest(probe: Probe, target: DataFrame, box, points: tuple[Column, Column], measure: Column, bound: Column, k: int, tie: list[Column], full: DataFrame | None = None) -> DataFrame:
     """Exact k nearest targets of each probe: cells of probes get a search radius, cells meet
-    targets in a box join, and each probe keeps its k best candidates."""
+    targets in a box join, and each probe keeps its k best candidates.
+
+    full: the targets with their geometry by _tid, if target holds only boxes and points.
+    """
     extent = extent_of(target, box)
     if not extent.rows:
-        return probe.df.join(target, F.lit(False)).withColumn("_d", F.lit(0.0)).withColumn("_rank", F.lit(1))
+        return probe.df.join(target if full is None else full, F.lit(False)).withColumn("_d", F.lit(0.0)).withColumn("_rank", F.lit(1))
     k = min(int(k), extent.rows)
-    level = extent.floor_level(max(1.0, k / 2))
+    level = extent.floor_level(max(0.5, k / 9))
     placed = probe.df.withColumns({"_cx": cell(probe.x, F.lit(level)), "_cy": cell(probe.y, F.lit(level))})
     cells = placed.select("_cx", "_cy").distinct()
     # one row per occupied cell, read by the level statistics and by the join
@@ -152,11 +159,12 @@ def _nearest(probe: Probe, target: DataFrame, box, points: tuple[Column, Column]
     reach_box = tuple(F.col(c) for c in ("_x0", "_y0", "_x1", "_y1"))
     found = box_join(reach, reach_box, target, box, extent, left_levels=list(extent_of(reach, reach_box).levels))
     met = placed.join(found, (F.col("_cx") == F.col("_kx")) & (F.col("_cy") == F.col("_ky")) & (bound <= F.col("_r")))
-    if bound is not measure:
-        # the k-th nearest known point of a target limits the exact distances worth computing
+    if full is not None:
+        # the k-th nearest known point of a target limits the targets whose geometry is worth fetching
         near = met.withColumns({"_lb": bound, "_ub": dist.planar(probe.x, probe.y, *points)})
         whole = Window.partitionBy("_qid").orderBy("_ub").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        met = near.withColumn("_kth", F.nth_value("_ub", k).over(whole)).filter(F.col("_lb") <= F.coalesce("_kth", F.lit(geo.INF)) * (1 + 1e-9))
+        close = near.withColumn("_kth", F.nth_value("_ub", k).over(whole)).filter(F.col("_lb") <= F.coalesce("_kth", F.lit(geo.INF)) * (1 + 1e-9))
+        met = close.select(*probe.df.columns, "_tid").join(full, "_tid")
     met = met.withColumn("_d", measure)
     rank = F.row_number().over(Window.partitionBy("_qid").orderBy("_d", *tie))
     return met.withColumn("_rank", rank).filter(F.col("_rank") <= k)
@@ -171,27 +179,33 @@ def knn(probe: Probe, target: DataFrame, k: int, tie: list[Column]) -> DataFrame
 
 def polygon_knn(probe: Probe, target: DataFrame, k: int, tie: list[Column]) -> DataFrame:
     """Each probe with its k nearest polygons by exact distance."""
+    # numbered once, so that the light and the full rows carry the same numbers
+    full = target.drop("_tg").withColumn("_tid", F.monotonically_increasing_id()).persist()
     corner = F.col("_tedges")[0]
+    light = full.select("_tid", "_tbox", corner["ax"].alias("_px0"), corner["ay"].alias("_py0"))
     bound = geo.box_distance(F.col("_tbox"), probe.x, probe.y)
-    return _nearest(probe, target, polygon_box(), (corner["ax"], corner["ay"]), polygon_distance(probe.x, probe.y), bound, k, tie)
+    return _nearest(probe, light, polygon_box(), (F.col("_px0"), F.col("_py0")), polygon_distance(probe.x, probe.y), bound, k, tie, full)
 
 
 def intersecting_pairs(target: DataFrame, order: Column) -> DataFrame:
-    """Unordered pairs of polygons that meet, borders included: l_* and r_* sides with areas, overlap and IoU.
+    """Unordered pairs of polygons that meet, borders included: l__o, r__o, areas, overlap and IoU.
 
-    order numbers the rows; the smaller is left. Pairs of rectangles are settled by Columns;
-    only other pairs reach the Python kernel with their edges.
+    order numbers the rows; the smaller is left. Boxes meet without their geometry. Pairs of
+    rectangles are settled by Columns; only other pairs fetch edges, for the Python kernel.
     """
-    shape = target.withColumns({"_o": order, "_area": geo.area(F.col("_tg"))}).drop("_tg")
+    shape = target.withColumns({"_o": order, "_area": geo.area(F.col("_tg"))})
+    light = shape.select("_o", "_area", "_tflat", "_tbox")
     extent = extent_of(target, polygon_box())
-    left = shape.select(*[F.col(f"`{c}`").alias(f"l_{c}") for c in shape.columns])
-    right = shape.select(*[F.col(f"`{c}`").alias(f"r_{c}") for c in shape.columns])
+    side = lambda p, df: df.select(*[F.col(c).alias(f"{p}_{c}") for c in df.columns])
     box = lambda p: tuple(F.col(f"{p}__tbox.{k}") for k in ("x0", "y0", "x1", "y1"))
-    pairs = box_join(left, box("l"), right, box("r"), extent, left_levels=list(extent.levels), on=F.col("l__o") < F.col("r__o"))
+    pairs = box_join(side("l", light), box("l"), side("r", light), box("r"), extent, left_levels=list(extent.levels), on=F.col("l__o") < F.col("r__o"))
     flat = F.col("l__tflat") & F.col("r__tflat")
-    side = lambda a, b: F.greatest(F.least(F.col(f"l__tbox.{b}"), F.col(f"r__tbox.{b}")) - F.greatest(F.col(f"l__tbox.{a}"), F.col(f"r__tbox.{a}")), F.lit(0.0))
-    asked = pairs.withColumn("_rel", kernels.relate(F.when(~flat, F.col("l__tedges")), F.when(~flat, F.col("r__tedges")))).filter("_rel.meets")
-    overlap = F.when(flat, side("x0", "x1") * side("y0", "y1")).otherwise(F.col("_rel.overlap"))
-    both = asked.withColumn("overlap_area", overlap)
+    width = lambda a, b: F.greatest(F.least(F.col(f"l__tbox.{b}"), F.col(f"r__tbox.{b}")) - F.greatest(F.col(f"l__tbox.{a}"), F.col(f"r__tbox.{a}")), F.lit(0.0))
+    keep = ["l__o", "r__o", "l__area", "r__area"]
+    plain = pairs.filter(flat).select(*keep, (width("x0", "x1") * width("y0", "y1")).alias("overlap_area"))
+    edges = shape.select("_o", "_tedges")
+    other = pairs.filter(~flat).select(*keep).join(side("l", edges), "l__o").join(side("r", edges), "r__o")
+    related = other.withColumn("_rel", kernels.relate(F.col("l__tedges"), F.col("r__tedges"))).filter("_rel.meets")
+    both = plain.unionByName(related.select(*keep, F.col("_rel.overlap").alias("overlap_area")))
     union = F.col("l__area") + F.col("r__area") - F.col("overlap_area")
     return both.withColumn("iou", F.when(union > 0, F.col("overlap_area") / union).otherwise(0.0))
