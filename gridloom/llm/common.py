@@ -64,11 +64,14 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
 
 
 def free_shuffles(spark: SparkSession) -> None:
-    """Let Spark's cleaner remove shuffle files of finished jobs."""
+    """Let Spark's cleaner remove shuffle files of finished jobs; plans held by Python go first."""
     import gc
+    import time
 
-    gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.4)
 
 
 # -- Arrow mapping -----------------------------------------------------------------------

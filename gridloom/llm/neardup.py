@@ -9,9 +9,14 @@ demands, and long documents finish after one level.
 Documents with equal shingle sets are one class from the start. Classes that share a band are
 compared against pivots of that band's bucket, first one pivot, then eight times as many in
 each round; pairs already in one component are skipped, compared pivots leave the bucket,
-and rounds end when every bucket lies in one component or all its pairs are compared. Groups
-of near copies therefore collapse with pairs in proportion to their size, and no pair that
-shares a band is lost. Every link is confirmed on the full shingle sets of both texts.
+and rounds end when every bucket lies in one component or all its pairs are compared.
+
+Between the rounds, an exact bound thins the buckets: of the classes still to be compared,
+count for each how many of its shingles any other one holds. Two sets of a and b shingles,
+of which x and y are held elsewhere, share at most m = min(x, y) and so reach at most
+m / (a + b - m); copies of one text with different edits fail this among themselves although
+they share bands. Groups of near copies therefore collapse with pairs in proportion to their
+size, and no pair that shares a band is lost. Every link is confirmed on the full shingle sets of both texts.
 
 Cases: null or empty text has no shingles and stands alone; a text with fewer words than a
 shingle is one shingle; a row with a null id stands alone with a null component; repeated
@@ -149,6 +154,19 @@ def _confirm(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) ->
     return both.mapInArrow(run, "a long, b long")
 
 
+def _held_elsewhere(texts: DataFrame, shingle: int) -> DataFrame:
+    """(id, s): how many of a text's distinct shingles at least one other text holds."""
+
+    def compute(part: pa.RecordBatch):
+        sets = [shingle_hashes(raw.lower().split(), shingle) for raw in common.raw_texts(part, "text")]
+        ids = np.repeat(part.column(0).to_numpy(), [len(x) for x in sets])
+        yield {"id": ids, "h": np.concatenate(sets).view(np.int64)}
+
+    rows = common.emit_rows(texts, "text", "id long, h long", compute)
+    alone = rows.groupBy("h").agg(F.min("id").alias("id"), F.max("id").alias("last")).filter("id = last")
+    return alone.groupBy("id").agg(F.count("*").alias("alone"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, bands: int = 24) -> DataFrame:
     """(id_col, n_shingles, component_id, kept) for every row; components of all links of at least percent."""
     spark = docs.sparkSession
@@ -160,9 +178,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = common.Stage(signed.df.select("id", "n", "set_key").join(reps, "set_key", "left").select("id", "n", F.when(F.col("id").isNotNull() & (F.col("n") > 0), F.col("rep")).alias("rep")), "members")
 
     heads = full.join(reps.select(F.col("rep").alias("id"), "set_key"), ["id", "set_key"], "left_semi").dropDuplicates(["id"])
-    cells = heads.select("id", "n", F.explode("bands").alias("key"))
+    cells = heads.select("id", "n", F.col("n").alias("s"), F.explode("bands").alias("key"))
     shared = cells.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1").select("key")
-    buckets = common.Stage(cells.join(shared, "key").withColumn("comp", F.col("id")), "buckets")
+    buckets = common.Stage(cells.join(shared, "key").select("id", "n", "s", "key", F.col("id").alias("comp")), "buckets")
     signed.drop()
     common.free_shuffles(spark)
     texts = None
@@ -175,21 +193,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         buckets.drop()
         if live.df.isEmpty():
             break
-        if texts is None:
-            wanted = live.df.select("id").distinct()
-            texts = common.stage(src.join(wanted, "id", "left_semi"), "texts")
-            common.free_shuffles(spark)
-        order = F.col("id") if pivots == 1 else F.xxhash64("id", "key", F.lit(pivots))
-        nth = F.row_number().over(Window.partitionBy("key").orderBy(order, "id"))
-        chosen = common.Stage(live.df.withColumn("nth", nth).filter(F.col("nth") <= pivots).select("key", F.col("id").alias("pid"), F.col("n").alias("pn"), F.col("comp").alias("pcomp")), "pivots")
-        near = (F.col("comp") != F.col("pcomp")) & (100 * F.least("n", "pn") >= percent * F.greatest("n", "pn"))
+        # merge joins at every size, so that what is shuffled grows evenly with the input
+        wanted = live.df.select("id").distinct().hint("merge")
+        fresh = common.Stage((src if texts is None else texts.df).join(wanted, "id", "left_semi"), "texts")
+        if texts is not None:
+            texts.drop()
+        texts = fresh
+        common.free_shuffles(spark)
+        alone = _held_elsewhere(texts.df, shingle)
+        sizes = live.df.select("id", "comp").distinct().groupBy("comp").agg(F.count("*").alias("size"))
+        counted = live.df.drop("s").join(alone, "id", "left").withColumn("s", F.col("n") - F.coalesce("alone", F.lit(0))).join(sizes, "comp")
+        able = common.Stage(counted.filter(100 * F.col("s") >= percent * F.col("n")).select("id", "n", "s", "key", "comp", "size"), "buckets")
+        live.drop()
+        live = able
+        # small components come first: what is left to compare lies between them and the large ones
+        nth = F.row_number().over(Window.partitionBy("key").orderBy("size", (F.col("n") - F.col("s")) / F.col("n"), "id"))
+        chosen = common.Stage(live.df.withColumn("nth", nth).filter(F.col("nth") <= pivots).select("key", F.col("id").alias("pid"), F.col("n").alias("pn"), F.col("s").alias("ps"), F.col("comp").alias("pcomp")), "pivots")
+        most = F.least("s", "ps")
+        near = (F.col("comp") != F.col("pcomp")) & (100 * most >= percent * (F.col("n") + F.col("pn") - most))
         pairs = live.df.join(chosen.df, "key").filter(near).select(F.greatest("id", "pid").alias("a"), F.least("id", "pid").alias("b")).distinct()
-        found = common.Stage(_confirm(pairs, texts, shingle, percent).distinct(), "links")
+        found = common.Stage(_confirm(pairs, texts.df, shingle, percent).distinct(), "links")
         links = found.df if links is None else links.unionByName(found.df)
         labels = common.components(links)
         rest = live.df.join(chosen.df.select("key", F.col("pid").alias("id")), ["key", "id"], "left_anti")
-        joined = rest.drop("comp").join(labels, rest.id == labels.node, "left")
-        buckets = common.Stage(joined.select("id", "n", "key", F.coalesce("comp", "id").alias("comp")), "buckets")
+        joined = rest.drop("comp", "size").join(labels, rest.id == labels.node, "left")
+        buckets = common.Stage(joined.select("id", "n", "s", "key", F.coalesce("comp", "id").alias("comp")), "buckets")
         live.drop()
         chosen.drop()
         pivots *= 8
