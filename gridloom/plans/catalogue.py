@@ -148,8 +148,14 @@ def knn_polygons(spark, d):
 @register(f"select tripkey, px between 25 and 50 and py between 25 and 50 inside from ({T}) where tripkey % 10 = 3")
 def range_mask(spark, d):
     """A boolean mask instead of a filter."""
+    return range_mask_all(spark, d).filter("tripkey % 10 = 3")
+
+
+@register(f"select tripkey, px between 25 and 50 and py between 25 and 50 inside from ({T})")
+def range_mask_all(spark, d):
+    """The mask of every trip."""
     inside = F.col("px").between(25, 50) & F.col("py").between(25, 50)
-    return trips(spark, d).filter("tripkey % 10 = 3").select("tripkey", inside.alias("inside"))
+    return trips(spark, d).select("tripkey", inside.alias("inside"))
 
 
 @register(f"select tripkey from ({T}) where px between 40 and 45 and py between 40 and 55")
@@ -330,7 +336,13 @@ def hull_area_by_group(spark, d):
 
 @register(f"select tripkey, sqrt((px - dx) * (px - dx) + (py - dy) * (py - dy)) length from ({T}) where tripkey % 10 = 1")
 def point_distance(spark, d):
-    return trips(spark, d).filter("tripkey % 10 = 1").select("tripkey", dist.point_distance(F.col("px"), F.col("py"), F.col("dx"), F.col("dy")).alias("length"))
+    return point_distance_all(spark, d).filter("tripkey % 10 = 1")
+
+
+@register(f"select tripkey, sqrt((px - dx) * (px - dx) + (py - dy) * (py - dy)) length from ({T})")
+def point_distance_all(spark, d):
+    """The length of every trip."""
+    return trips(spark, d).select("tripkey", dist.point_distance(F.col("px"), F.col("py"), F.col("dx"), F.col("dy")).alias("length"))
 
 
 @register(f"select id, round({HAVERSINE.format(a='lat', b='10', c='lon', d='20')} / 1000, 3) km from ({fx.LONLAT_SQL})")
@@ -340,7 +352,13 @@ def distance_to_point(spark, d):
 
 @register(f"select tripkey, sqrt((px - dx) * (px - dx) + (py - dy) * (py - dy)) length from ({T}) where tripkey % 10 = 7")
 def wkb_point_distance(spark, d):
-    t = trips(spark, d).filter("tripkey % 10 = 7").select("tripkey", wkb.make_points(F.col("px"), F.col("py")).alias("a"), wkb.make_points(F.col("dx"), F.col("dy")).alias("b"))
+    return wkb_point_distance_all(spark, d).filter("tripkey % 10 = 7")
+
+
+@register(f"select tripkey, sqrt((px - dx) * (px - dx) + (py - dy) * (py - dy)) length from ({T})")
+def wkb_point_distance_all(spark, d):
+    """The length of every trip, from WKB."""
+    t = trips(spark, d).select("tripkey", wkb.make_points(F.col("px"), F.col("py")).alias("a"), wkb.make_points(F.col("dx"), F.col("dy")).alias("b"))
     return t.select("tripkey", wkb.point_distance(F.col("a"), F.col("b")).alias("length"))
 
 
