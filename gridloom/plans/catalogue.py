@@ -188,8 +188,17 @@ def join_within_distance(spark, d):
 
 @register(f"with g as ({fx.LONLAT_SQL}) select a.id a, b.id b from g a, g b where a.id % 5 = 0 and a.id <> b.id and {HAVERSINE.format(a='a.lat', b='b.lat', c='a.lon', d='b.lon')} <= 900000")
 def join_within_distance_geo(spark, d):
-    g = lonlat(spark, d)
-    probe = g.filter("id % 5 = 0").selectExpr("id as a", "lon as qlon", "lat as qlat")
+    return geo_pairs(lonlat(spark, d), "id % 5 = 0")
+
+
+@register(f"with g as ({fx.LONLAT_SQL}) select a.id a, b.id b from g a, g b where a.id <> b.id and {HAVERSINE.format(a='a.lat', b='b.lat', c='a.lon', d='b.lon')} <= 900000")
+def join_within_distance_geo_all(spark, d):
+    """Every point is a probe."""
+    return geo_pairs(lonlat(spark, d), "true")
+
+
+def geo_pairs(g: DataFrame, probes: str) -> DataFrame:
+    probe = g.filter(probes).selectExpr("id as a", "lon as qlon", "lat as qlat")
     target = SpatialFrame(g.withColumnRenamed("id", "b"), "lon", "lat", coordinate_system="geographic")
     return target.lazy().within_distance_join(probe, "qlon", "qlat", 900_000).filter("a <> b").select("a", "b").to_df()
 
@@ -370,9 +379,19 @@ def wkb_points_frame(spark, d):
 
 @register(f"select id, pid from ({hits_sql(PTS)}) where id % 2 = 1")
 def wkb_polygons_join(spark, d):
+    return wkb_pairs(spark, d, "id % 2 = 1")
+
+
+@register(f"select id, pid from ({hits_sql(PTS)})")
+def wkb_polygons_join_all(spark, d):
+    """Every customer is a probe."""
+    return wkb_pairs(spark, d, "true")
+
+
+def wkb_pairs(spark, d, probes: str) -> DataFrame:
     df = shapes(spark, d).df.select("pid", wkb.make_polygons(F.col("geom")).alias("wkb"))
     frame = SpatialFrame.from_lazy(df, "wkb", "polygon")
-    return frame.lazy().within_join(customers(spark, d).df.filter("id % 2 = 1"), "x", "y").select("id", "pid").to_df()
+    return frame.lazy().within_join(customers(spark, d).df.filter(probes), "x", "y").select("id", "pid").to_df()
 
 
 # -- sources, sinks and plans --------------------------------------------------------------------
@@ -408,9 +427,19 @@ def shared_path(spark: SparkSession, name: str) -> str:
 @register(f"select id, pid from ({hits_sql(PTS)}) where id % 4 = 0")
 def scan_and_sink(spark, d):
     """WKB polygons written to Parquet, scanned as a deferred frame, joined and written again."""
+    return sunk_pairs(spark, d, "id % 4 = 0")
+
+
+@register(f"select id, pid from ({hits_sql(PTS)})")
+def scan_and_sink_all(spark, d):
+    """Every customer is a probe."""
+    return sunk_pairs(spark, d, "true")
+
+
+def sunk_pairs(spark, d, probes: str) -> DataFrame:
     zones_at, out = shared_path(spark, "zones"), shared_path(spark, "pairs")
     shapes(spark, d).df.select("pid", wkb.make_polygons(F.col("geom")).alias("wkb")).write.parquet(zones_at)
-    plan = SpatialFrame.scan_parquet(spark, zones_at, "wkb", "polygon").lazy().within_join(customers(spark, d).df.filter("id % 4 = 0"), "x", "y").select("id", "pid")
+    plan = SpatialFrame.scan_parquet(spark, zones_at, "wkb", "polygon").lazy().within_join(customers(spark, d).df.filter(probes), "x", "y").select("id", "pid")
     plan.sink_parquet(out)
     return spark.read.parquet(out)
 

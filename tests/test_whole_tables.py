@@ -28,3 +28,12 @@ def compare(spark, name, table, key, column):
 def test_every_trip_has_a_row(spark, name):
     got, every = compare(spark, name, "orders", "o_orderkey", "tripkey")
     assert got == every
+
+
+@pytest.mark.skipif(not os.path.isdir(DIR), reason="no test tables")
+@pytest.mark.parametrize("name, narrow, column", [("join_within_distance_geo_all", "join_within_distance_geo", "a"), ("wkb_polygons_join_all", "wkb_polygons_join", "id"), ("scan_and_sink_all", "scan_and_sink", "id")])
+def test_every_probe_is_joined(spark, name, narrow, column):
+    table, key = ("embeddings", "vec_id") if column == "a" else ("customer", "c_custkey")
+    got, every = compare(spark, name, table, key, column)
+    part = {r[column] for r in QUERIES[narrow](spark, DIR).collect()}
+    assert part < got <= every
