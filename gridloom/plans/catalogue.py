@@ -339,7 +339,13 @@ def hull_sql(points: str, keys: str) -> str:
 
 @register(rounded_sql(f"select custkey, area from {hull_sql(f'select custkey, dx x, dy y from ({T}) where custkey % 7 = 0', 'custkey')}", ["custkey"], ["area"], 6))
 def hull_area_by_group(spark, d):
-    groups = trips(spark, d).filter("custkey % 7 = 0").groupBy("custkey").agg(F.collect_list(F.struct(F.col("dx").alias("x"), F.col("dy").alias("y"))).alias("points"), F.count_distinct("dx", "dy").alias("n"))
+    return hull_area_by_group_all(spark, d).filter("custkey % 7 = 0")
+
+
+@register(rounded_sql(f"select custkey, area from {hull_sql(f'select custkey, dx x, dy y from ({T})', 'custkey')}", ["custkey"], ["area"], 6))
+def hull_area_by_group_all(spark, d):
+    """The hull of every customer with two distinct ends."""
+    groups = trips(spark, d).groupBy("custkey").agg(F.collect_list(F.struct(F.col("dx").alias("x"), F.col("dy").alias("y"))).alias("points"), F.count_distinct("dx", "dy").alias("n"))
     return groups.filter("n > 1").select("custkey", F.round(kernels.convex_hull_area(F.col("points")), 6).alias("area"))
 
 

@@ -37,3 +37,9 @@ def test_every_probe_is_joined(spark, name, narrow, column):
     got, every = compare(spark, name, table, key, column)
     part = {r[column] for r in QUERIES[narrow](spark, DIR).collect()}
     assert part < got <= every
+
+
+@pytest.mark.skipif(not os.path.isdir(DIR), reason="no test tables")
+def test_every_group_has_a_hull(spark):
+    got, _ = compare(spark, "hull_area_by_group_all", "customer", "c_custkey", "custkey")
+    assert {k % 7 for k in got} == set(range(7))
