@@ -2,15 +2,16 @@
 
 A multinomial logistic classifier over hashed words is trained on a bounded sample of a table
 of labelled documents and predicts every document's domain posteriors. Nonnegative rates
-(expected copies of each document) are then fitted by projected-gradient least squares, so
-that the expected tokens of each domain, the sum of rate x tokens x posterior, match targets:
+(expected copies of each document) are then fitted by bounded least squares, so that the expected tokens of each domain, the sum of rate x tokens x posterior, match targets:
 
     min  1/2 sum_k (sum_d r_d n_d p_dk - T_k)^2 / A_k + ridge/2 sum_d n_d (r_d - r0)^2,   0 <= r_d <= most
 
-A_k are the available tokens; in this scaling the steepest curvature is 1 + ridge. A
-document's rate after t accelerated steps depends only on its posteriors and the t residual
-vectors, so rates are never stored between steps: each step is one pass over the small
-table of posteriors that adds up as many numbers as there are domains.
+A_k are the available tokens. The dual has one price per domain, and a document's rate
+depends only on its posteriors and the prices, so rates are never stored between steps: each
+Newton step with line search is one pass over the small table of posteriors that adds up the
+tokens of each domain and the curvature of each pair of domains. Steps go on until every
+domain is solved to a share of its own target or the dual no longer rises; a target that the
+limits of the rates and the ridge keep out of reach is logged.
 
 Cases: null and empty texts have 0 tokens and the class prior, and get the base rate moved
 by their posteriors like any other; unlabelled documents are only scored; labels without a
@@ -21,6 +22,8 @@ gives no rows. Columns named like the outputs give way.
 
 from __future__ import annotations
 
+import logging
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -114,36 +117,65 @@ def rates_after(p: np.ndarray, pulls: list[np.ndarray], base: float, ridge: floa
     return r, y
 
 
-def fit_rates(scored: DataFrame, targets: np.ndarray, most: float = 4.0, ridge: float = 1e-3, steps: int = 25, tolerance: float = 1e-3):
-    """Residual vectors of the descent; scored holds n_tokens and posteriors. Returns (pulls, base rate)."""
+def fit_rates(scored: DataFrame, targets: np.ndarray, most: float = 4.0, ridge: float = 1e-3, steps: int | None = None, tolerance: float = 1e-3):
+    """Residual vectors that give the rates; scored holds n_tokens and posteriors. Returns (pulls, base rate).
+
+    Each domain is solved to tolerance of its own target; steps, if given, is the most Newton steps.
+    """
     k = len(targets)
 
-    def totals(pulls: list, base: float, which: int) -> np.ndarray:
+    def sums(prices: np.ndarray, base: float) -> tuple[float, np.ndarray, np.ndarray]:
+        """Least cost of the rates at these prices, the tokens they give each domain, and the weight of the rates within limits."""
+
         def run(batches):
             for batch in batches:
                 if batch.num_rows:
-                    n = batch.column(0).to_numpy()
+                    n = batch.column(0).to_numpy().astype(float)
                     p = batch.column(1).flatten().to_numpy().reshape(-1, k)
-                    r = rates_after(p, pulls, base, ridge, most)[which] if pulls else np.full(len(n), base)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(k, dtype=np.int32)), pa.array((n * r) @ p)], names=["k", "v"])
-
-        out = np.zeros(k)
+                    cost = p @ prices
+                    wish = base - cost / ridge
+                    r = np.clip(wish, 0.0, most)
+                    free = p * np.where((wish > 0) & (wish < most), n, 0.0)[:, None]
+                    v = np.concatenate(([(n * (r * cost + ridge / 2 * (r - base) ** 2)).sum()], (n * r) @ p, (free.T @ p).reshape(-1)))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(v), dtype=np.int32)), pa.array(v)], names=["k", "v"])
+
+        out = np.zeros(1 + k + k * k)
         for row in scored.select("n_tokens", "posteriors").mapInArrow(run, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).collect():
             out[row["k"]] = row["v"]
-        return out
+        return out[0], out[1 : 1 + k], out[1 + k :].reshape(k, k)
 
-    have = totals([], 1.0, 0)
+    have = sums(np.zeros(k), 1.0)[1]
     if not have.sum():
         return [], 1.0
     base = float(targets.sum() / have.sum())
     scale = np.maximum(have, 1e-9 * have.sum())
-    pulls: list[np.ndarray] = []
-    for _ in range(steps):
-        gap = totals(pulls, base, 1) - targets
-        if np.abs(gap).sum() <= tolerance * targets.sum():
+    close = tolerance * np.maximum(targets, 1e-6 * targets.sum())
+
+    def dual(prices: np.ndarray):
+        cost, got, free = sums(prices, base)
+        return cost - prices @ targets - (scale * prices**2).sum() / 2, got, got - targets - scale * prices, free
+
+    prices = np.zeros(k)
+    value, got, slope, free = dual(prices)
+    done = 0
+    while (np.abs(slope) > close).any() and (steps is None or done < steps):
+        step = np.linalg.solve(np.diag(scale) + free / ridge, slope)
+        part, floor = 1.0, 1e-12 * abs(value)
+        while part > 1e-9:
+            after = dual(prices + part * step)
+            if after[0] >= value + 1e-4 * part * (slope @ step) - floor:
+                break
+            part /= 2
+        if part <= 1e-9 or (after[0] <= value + floor and np.abs(after[2]).max() >= np.abs(slope).max()):
             break
-        pulls.append(gap / scale)
-    return pulls, base
+        prices = prices + part * step
+        value, got, slope, free = after
+        done += 1
+    missed = np.flatnonzero(np.abs(got - targets) > 10 * close)
+    if len(missed):
+        logging.getLogger(__name__).warning("mixing targets missed by more than %g of their size, as domain: (tokens, target): %s", 10 * tolerance, {int(i): (float(got[i]), float(targets[i])) for i in missed})
+    # one step of rates_after from the base with this vector is the clipped rate at the prices
+    return [prices * (1 + ridge) / ridge], base
 
 
 RATE_FIELDS = T.StructType([T.StructField("rate", T.DoubleType())])

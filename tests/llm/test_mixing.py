@@ -39,6 +39,20 @@ def test_descent_equals_a_direct_solver(spark):
     assert np.abs(r @ a - targets).max() < 0.01 * total and np.abs(r - x).max() < 0.05
 
 
+def test_defaults_solve_rare_domains(spark):
+    rng = np.random.default_rng(5)
+    p = rng.dirichlet([6.0, 3.0, 0.5, 0.3], 120)
+    n = rng.integers(1, 100, 120)
+    scored = spark.createDataFrame([(int(a), [float(x) for x in b]) for a, b in zip(n, p)], "n_tokens long, posteriors array<double>")
+    targets = np.array([0.75, 0.22, 0.02, 0.01]) * n.sum()
+    r = mixing.rates_after(p, *mixing.fit_rates(scored, targets), 1e-3, 4.0)[0]
+    a = n[:, None] * p
+    x = np.ones(120)
+    for _ in range(60000):  # plain projected gradient
+        x = np.clip(x - 0.99 * (p @ ((x @ a - targets) / a.sum(0)) + 1e-3 * (x - 1)), 0, 4)
+    assert (np.abs(r @ a - x @ a) < 0.005 * targets).all()
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     lab = spark.createDataFrame([], "doc_id long, domain string")
