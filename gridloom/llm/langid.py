@@ -14,6 +14,7 @@ alphabetically first. Repeated rows are scored alike. Columns named like the out
 from __future__ import annotations
 
 import re
+import zlib
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -139,11 +140,14 @@ class LanguageModel:
         return names, score
 
 
+PACKED = T.StructType([T.StructField("_vector", T.BinaryType())])
+
+
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 1000) -> LanguageModel:
     """Train on at most per_language rows of each language, taken in hash order of the id.
 
-    Only the chosen ids travel before the texts are read, and at most per_language rows of
-    each language reach the driver.
+    Only the chosen ids travel before the texts are read. Executors read whole texts; the
+    driver gets feature vectors of fixed size, at most per_language of each language.
     """
     ids = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(lang_col).cast("string").alias("_lang"))
     rank = F.row_number().over(Window.partitionBy("_lang").orderBy(F.xxhash64("_id"), "_id"))
@@ -151,19 +155,25 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     rows = (
         labelled.select(F.col(id_col).alias("_id"), F.col(text_col).cast("binary").alias("_text"), F.col(lang_col).cast("string").alias("_lang"))
         .filter("_text is not null and _lang is not null")
-        .join(F.broadcast(chosen), "_id", "left_semi").collect()
+        .join(F.broadcast(chosen), "_id", "left_semi").select("_lang", "_text")
     )
-    rows = sorted(((r["_lang"], bytes(r["_text"])[: 1 << 20]) for r in rows if has_letter(bytes(r["_text"]))))
-    return train(rows)
+
+    def compute(part: pa.RecordBatch) -> list:
+        packed = [zlib.compress(features([t]).tobytes(), 1) if has_letter(t) else None for t in common.raw_texts(part, "_text")]
+        return [pa.array(packed, pa.binary())]
+
+    kept = common.append_columns(rows, "_text", PACKED, compute).select("_lang", "_vector").filter("_vector is not null").collect()
+    return train(sorted((r["_lang"], zlib.decompress(r["_vector"])) for r in kept))
 
 
 def train(rows: list[tuple[str, bytes]]) -> LanguageModel:
+    """Fit on (language, feature vector as bytes)."""
     model = LanguageModel()
     for lang in sorted({r[0] for r in rows}):
         model.families.setdefault(family_of(lang), []).append(lang)
     if not rows:
         return model
-    x, langs = features([r[1] for r in rows]), np.array([r[0] for r in rows], object)
+    x, langs = np.frombuffer(b"".join(r[1] for r in rows), np.float32).reshape(-1, DIM), np.array([r[0] for r in rows], object)
     fams = np.array([family_of(v) for v in langs], object)
     if len(model.families) > 1:
         for fam in model.families:

@@ -36,6 +36,14 @@ def test_edge_cases(spark):
     assert got[5]["lang_pred"] != "und"
 
 
+def test_training_reads_whole_texts(spark):
+    """The first megabytes of all texts are the same; what tells the languages comes after."""
+    short = spark.createDataFrame([r for r in rows() if r[2] in ("en", "de") and r[0] % 5 == 0], "doc_id long, text string, lang string")
+    long = short.withColumn("text", F.expr("concat(repeat('zq ', 400000), repeat(concat(text, ' '), 20000))"))
+    got = langid.identify(short, langid.fit(long)).collect()
+    assert len(got) == 8 and all(r["lang"] == r["lang_pred"] for r in got)
+
+
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, lang string")
     model = langid.fit(empty)
