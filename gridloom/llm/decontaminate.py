@@ -224,10 +224,11 @@ def _spans(raw: bytes, runs) -> list[tuple[int, int]]:
     return [(int(first[a]), int(last[b - 1])) for a, b in runs]
 
 
-def remove_hits(hits: DataFrame, text_col: str = "text", min_span: int = 10, max_coverage: float = 0.5) -> DataFrame:
+def remove_hits(hits: DataFrame, text_col: str = "text", min_span: int = 3, max_coverage: float = 0.5) -> DataFrame:
     """Cut hit runs of at least min_span words out of the texts; rows hit beyond max_coverage of their words go.
 
-    Runs shorter than min_span (whole short items) stay in the text unless coverage drops the row.
+    Runs shorter than min_span (whole items of one or two words) stay in the text unless
+    coverage drops the row.
     """
 
     kept = hits.withColumn("_hit", F.aggregate("hit_runs", F.lit(0).cast("long"), lambda s, r: s + r[1] - r[0])).filter(F.col("_hit") <= max_coverage * F.col("n_words")).drop("_hit")

@@ -53,3 +53,12 @@ def test_edges_and_removal(spark):
     none = dc.find_hits(docs, bench.limit(0))
     assert none.filter(F.size("hit_runs") > 0).count() == 0 and none.count() == 7
     assert dc.find_hits(docs.limit(0), bench).count() == 0
+
+
+def test_short_items_are_cut(spark):
+    """A whole item of three words or more goes; one of two words stays."""
+    bench = spark.createDataFrame([(1, "alpha beta gamma"), (2, "two words"), (3, "one nine word item sits here now my dear")], "item_id long, text string")
+    rest = " clean" * 30
+    docs = spark.createDataFrame([(1, "a alpha, beta gamma b" + rest), (2, "two words" + rest), (3, "x one nine word item sits here now my dear y" + rest)], "doc_id long, text string")
+    left = {r["doc_id"]: r["text"] for r in dc.remove_hits(dc.find_hits(docs, bench)).collect()}
+    assert left == {1: "a  b" + rest, 2: "two words" + rest, 3: "x  y" + rest}
