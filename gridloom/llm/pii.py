@@ -22,6 +22,7 @@ outputs give way.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -243,54 +244,74 @@ def find(text: str, model: Crf) -> tuple[list[tuple[str, int, int]], list[tuple[
     return spans, added
 
 
-def train(texts: list[str], max_tokens: int = 20000) -> Crf:
-    """Fit on the base labels of the given texts."""
+_CHAIN, _SKIP = 1 << 24, 2 << 24
+
+
+def counts_of(text: str) -> Counter:
+    """How often a text holds each pair of features and base label, each pair of chained labels, and equal or other skip labels."""
+    tokens = tokens_of(text)
+    if not tokens:
+        return Counter()
+    y = labels_of(tokens, base_spans(text))
+    bits = token_features(text, tokens).astype(np.int64) @ (1 << np.arange(N_FEATURES))
+    out = Counter((bits | y << N_FEATURES).tolist())
+    chain, skip = links_of(text, tokens)
+    out.update(_CHAIN | int(5 * y[a] + y[b]) for a, b in chain)
+    out.update(_SKIP | int(y[a] == y[b]) for a, b in skip)
+    return out
+
+
+def solve(counts: dict[int, int]) -> Crf:
+    """Fit on the summed counts_of all texts; features are 0 or 1, so nothing is lost by counting."""
     model = default_model()
-    xs, ys, size = [], [], 0
-    move, same, other = np.ones((5, 5)), 1.0, 1.0
-    for text in texts:
-        tokens = tokens_of(text)
-        if not tokens:
-            continue
-        y = labels_of(tokens, base_spans(text))
-        chain, skip = links_of(text, tokens)
-        for a, b in chain:
-            move[y[a], y[b]] += 1
-        for a, b in skip:
-            if y[a] == y[b]:
-                same += 1
-            else:
-                other += 1
-        xs.append(token_features(text, tokens))
-        ys.append(y)
-        size += len(tokens)
-        if size >= max_tokens:
-            break
-    if not xs:
+    nodes = sorted(c for c in counts if c < _CHAIN)
+    if not nodes:
         return model
-    x, y = np.concatenate(xs), np.concatenate(ys)
-    w, target = model.weights.copy(), np.eye(5)[y]
+    move = np.ones((5, 5))
+    for c, n in counts.items():
+        if _CHAIN <= c < _SKIP:
+            move[divmod(c - _CHAIN, 5)] += n
+    same, other = 1.0 + counts.get(_SKIP | 1, 0), 1.0 + counts.get(_SKIP, 0)
+    code = np.array(nodes)
+    x, target = (code[:, None] >> np.arange(N_FEATURES) & 1).astype(float), np.eye(5)[code >> N_FEATURES]
+    part = np.array([counts[c] for c in nodes], float)
+    part = (part / part.sum())[:, None]
+    w = model.weights.copy()
     for _ in range(300):
         z = x @ w
         p = np.exp(z - z.max(1, keepdims=True))
         p /= p.sum(1, keepdims=True)
-        w -= 2.0 * (x.T @ (p - target) / len(x) + 1e-3 * (w - model.weights))
+        w -= 2.0 * (x.T @ (part * (p - target)) + 1e-3 * (w - model.weights))
     share = move / move.sum()
     chain = np.log(share / (share.sum(1, keepdims=True) * share.sum(0, keepdims=True)))
     return Crf(w, np.clip(chain, -2, 2), float(np.clip(np.log(4 * same / other), 2.0, 6.0)))
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = 2000, sample_chars: int = 20000) -> Crf:
+def train(texts: list[str]) -> Crf:
+    """Fit on the base labels of the given texts."""
+    counts = Counter()
+    for text in texts:
+        counts.update(counts_of(text))
+    return solve(counts)
+
+
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = 2000) -> Crf:
     """Train on sample_docs documents with digits or at signs, taken in hash order of the id.
 
-    At most sample_docs texts reach the driver; those over sample_chars are not in the sample.
+    Ids travel before texts; executors read the sampled texts whole, and only counts reach the driver.
     """
-    rows = (
-        docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-        .filter(F.col("_text").rlike("[0-9@]") & (F.length("_text") <= sample_chars))
-        .orderBy(F.xxhash64("_id"), "_id").limit(sample_docs).collect()
-    )
-    return train([r["_text"] for r in rows])
+    marked = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).filter(F.col("_text").rlike("[0-9@]"))
+    chosen = marked.select(F.col("_id").alias("_chosen")).orderBy(F.xxhash64("_chosen"), "_chosen").limit(sample_docs).distinct()
+    sample = marked.join(F.broadcast(chosen), F.col("_id").eqNullSafe(F.col("_chosen")), "left_semi")
+
+    def compute(part: pa.RecordBatch):
+        counts = Counter()
+        for text in part.column(part.schema.get_field_index("_text")).to_pylist():
+            counts.update(counts_of(text))
+        yield {"code": pa.array(list(counts.keys()), pa.int64()), "n": pa.array(list(counts.values()), pa.int64())}
+
+    rows = common.emit_rows(sample, "_text", "code long, n long", compute).groupBy("code").agg(F.sum("n").alias("n")).collect()
+    return solve({r["code"]: r["n"] for r in rows})
 
 
 SPAN = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("added", pa.bool_())])

@@ -60,3 +60,13 @@ def test_frame_edges(spark):
     assert [r["text"] for r in got] == [None, "", "mail [EMAIL] and é [IP]", "mail [EMAIL] and é [IP]", "clean text"]
     none = df.limit(0)
     assert pii.find_spans(none, pii.fit(none)).count() == 0
+
+
+def test_training_reads_long_and_late_texts(spark):
+    late = [f"call +1 ({n}) 555-{n}7 now or {n} things in 2019" for n in range(100, 400)]
+    dense = "room 12 " * 21000
+    assert abs(pii.train([dense]).weights - pii.train([dense, *late]).weights).max() > 1e-3
+    df = spark.createDataFrame([(1, " and ".join(late * 2))], "doc_id long, text string")
+    model, want = pii.fit(df), pii.train([" and ".join(late * 2)])
+    assert abs(model.weights - pii.default_model().weights).max() > 0.1
+    assert abs(model.weights - want.weights).max() < 1e-9 and abs(model.chain - want.chain).max() < 1e-9 and model.skip == want.skip
