@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
@@ -45,33 +46,59 @@ def shared_dir(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+@contextlib.contextmanager
+def tidy(spark: SparkSession):
+    """Within it, each execution's shuffle files go when it ends, so that finished jobs hold no disk."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 class Stage:
     """A DataFrame written to the shared folder; drop() deletes the files once nothing reads them."""
 
     def __init__(self, df: DataFrame, name: str = "stage"):
         self.spark = df.sparkSession
         self.path = f"{shared_dir(self.spark)}/{name}-{uuid.uuid4().hex}"
-        df.write.option("compression", "zstd").parquet(self.path)
+        with tidy(self.spark):
+            df.write.option("compression", "zstd").parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
     def drop(self) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        delete(self.spark, self.path)
 
 
-def stage(df: DataFrame, name: str = "stage") -> DataFrame:
-    return Stage(df, name).df
+class Bucketed:
+    """A DataFrame written in buckets of a key to the shared folder; grouping or joining it by the key moves none of its rows."""
 
+    def __init__(self, df: DataFrame, key: str, buckets: int, name: str = "bucketed"):
+        self.spark = df.sparkSession
+        self.table = f"{name}_{uuid.uuid4().hex}".replace("-", "_")
+        self.path = f"{shared_dir(self.spark)}/{self.table}"
+        buckets = min(buckets, int(self.spark.conf.get("spark.sql.sources.bucketing.maxBuckets")))
+        with tidy(self.spark):
+            df.repartition(buckets, key).write.option("path", self.path).option("compression", "zstd").bucketBy(buckets, key).sortBy(key).saveAsTable(self.table)
+        self.df = self.spark.table(self.table)
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Let Spark's cleaner remove shuffle files of finished jobs; plans held by Python go first."""
-    import gc
-    import time
+    def drop(self) -> None:
+        self.spark.sql(f"drop table if exists {self.table}")
+        delete(self.spark, self.path)
 
-    for _ in range(2):
-        gc.collect()
-        spark._jvm.System.gc()
-        time.sleep(0.4)
+
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def stage(df: DataFrame, name: str = "stage") -> DataFrame:
+    return Stage(df, name).df
 
 
 # -- Arrow mapping -----------------------------------------------------------------------

@@ -6,17 +6,20 @@ level j before any takes level j + 1, so a document stops as soon as its slots a
 values of later levels cannot win. Ranks within an element are thus correlated as SuperMinHash
 demands, and long documents finish after one level.
 
-Documents with equal shingle sets are one class from the start. Classes that share a band are
-compared against pivots of that band's bucket, first one pivot, then eight times as many in
-each round; pairs already in one component are skipped, compared pivots leave the bucket,
+Documents with one word sequence (a 128-bit cryptographic digest) are one class from the start;
+what follows works on one head a class. Classes that share a band are compared against pivots of that
+band's bucket, first one pivot, then sixteen times as many in each round, drawn from small
+components first. Pairs already in one component are skipped, compared pivots leave the bucket,
 and rounds end when every bucket lies in one component or all its pairs are compared.
 
-Between the rounds, an exact bound thins the buckets: of the classes still to be compared,
-count for each how many of its shingles any other one holds. Two sets of a and b shingles,
-of which x and y are held elsewhere, share at most m = min(x, y) and so reach at most
-m / (a + b - m); copies of one text with different edits fail this among themselves although
-they share bands. Groups of near copies therefore collapse with pairs in proportion to their
-size, and no pair that shares a band is lost. Every link is confirmed on the full shingle sets of both texts.
+A parity sketch decides which pairs are looked at: bit i says whether an odd number of the
+set's shingles hash to i. Each bit in which two sketches differ stands for a shingle that only
+one set holds, so a pair with (100 + p) * bits > (100 - p) * (a + b) cannot share p percent of
+its union. The bound is exact and never drops a link. Sketches hold two to four bits a shingle, hence
+copies of one text with different edits, which share bands but are no links, fall out before any
+text is read, and a group of near copies yields pairs in proportion to its links. Pivots are the
+least of each salted part of a bucket, so that no task ranks or holds a bucket. Every pair that
+is left is confirmed on the full shingle sets of both texts.
 
 Cases: null or empty text has no shingles and stands alone; a text with fewer words than a
 shingle is one shingle; a row with a null id stands alone with a null component; repeated
@@ -26,12 +29,13 @@ texts are read whole; an empty table gives no rows. Other columns are ignored.
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from gridloom.llm import common
 
@@ -105,28 +109,54 @@ def rows_for(threshold: float, bands: int, miss: float = 1e-4) -> int:
     return rows
 
 
+def parity_sketch(hashes: np.ndarray) -> np.ndarray:
+    """Bit i is set if an odd number of hashes fall on it; a power of two of words, two to four bits a hash."""
+    bits = 64 << max(2, (len(hashes) // 32).bit_length())
+    odd = np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def signatures(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
-    """(id, n, set_key, bands) of (id, text): set size, 128-bit key of the set, band keys."""
+    """(id, n, text_key, bands, sketch) of (id, text): set size, digest of the word sequence, band keys, parity sketch."""
     slots = bands * rows
 
     def compute(part: pa.RecordBatch):
-        sets = [shingle_hashes(raw.lower().split(), shingle) for raw in common.raw_texts(part, "text")]
+        words = [raw.lower().split() for raw in common.raw_texts(part, "text")]
+        sets = [shingle_hashes(w, shingle) for w in words]
         sig = superminhash(sets, slots).reshape(len(sets), bands, rows)
         key = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(_GOLD), (len(sets), bands)).copy()
         for r in range(rows):
             key = common.mix64(key * np.uint64(0xD6E8FEB86659FD93) + sig[:, :, r])
-        flat = pa.array(key.reshape(-1).view(np.int64))
+        sketches = [parity_sketch(s) for s in sets]
+        ends = np.cumsum([0, *map(len, sketches)]).astype(np.int32)
         yield {
             "id": part.column(0), "n": pa.array([len(s) for s in sets], pa.int64()),
-            "set_key": pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
-            "bands": pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * bands), flat),
+            "text_key": pa.array([blake2b(b" ".join(w), digest_size=16).digest() for w in words], pa.binary()),
+            "bands": pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * bands), pa.array(key.reshape(-1).view(np.int64))),
+            "sketch": pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sketches))),
         }
 
-    return common.emit_rows(docs.select("id", "text"), "text", "id long, n long, set_key binary, bands array<long>", compute)
+    return common.emit_rows(docs.select("id", "text"), "text", "id long, n long, text_key binary, bands array<long>, sketch array<long>", compute)
+
+
+def _folded(sketch: Column) -> Column:
+    half = (F.size(sketch) / 2).cast("int")
+    return F.zip_with(F.slice(sketch, F.lit(1), half), F.slice(sketch, half + 1, half), lambda x, y: x.bitwiseXOR(y))
+
+
+def _can_link(percent: int) -> Column:
+    """Whether (n, sketch) and (pn, psketch) may reach the threshold; sketches of other sizes than equal or double count as equal."""
+    mine, other = F.col("sketch"), F.col("psketch")
+    x = F.when(F.size(mine) > F.size(other), _folded(mine)).otherwise(mine)
+    y = F.when(F.size(other) > F.size(mine), _folded(other)).otherwise(other)
+    apart = F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, c: s + c)
+    sizes = 100 * F.least("n", "pn") >= percent * F.greatest("n", "pn")
+    return sizes & ((100 + percent) * F.coalesce(apart, F.lit(0)) <= (100 - percent) * (F.col("n") + F.col("pn")))
 
 
 def _confirm(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets reach the threshold; b's text repeats, so pairs are met in its order."""
+    """Edges (a, b) between the components of the pairs (id, pid, comp, pcomp) whose full shingle sets reach the
+    threshold; a pivot's text repeats, so pairs are met in its order."""
 
     def run(batches):
         held, held_set = None, None
@@ -138,97 +168,101 @@ def _confirm(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) ->
 
         for batch in batches:
             keep = []
-            a_text, b_text = common.raw_texts(batch, "ta"), common.raw_texts(batch, "tb")
-            for i, (ta, tb) in enumerate(zip(a_text, b_text)):
-                if tb != held:
-                    held, held_set = tb, words(tb)
-                mine = words(ta)
-                both = len(mine & held_set)
-                union = len(mine) + len(held_set) - both
+            for i, (mine, other) in enumerate(zip(common.raw_texts(batch, "text"), common.raw_texts(batch, "ptext"))):
+                if other != held:
+                    held, held_set = other, words(other)
+                own = words(mine)
+                both = len(own & held_set)
+                union = len(own) + len(held_set) - both
                 if union and 100 * both >= percent * union:
                     keep.append(i)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int32())), batch.column(1).take(pa.array(keep, pa.int32()))], names=["a", "b"])
+            rows = pa.array(keep, pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows)], names=["a", "b"])
 
-    left = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
-    both = left.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
-    return both.mapInArrow(run, "a long, b long")
+    left = pairs.join(texts, "id")
+    both = left.join(texts.select(F.col("id").alias("pid"), F.col("text").alias("ptext")), "pid")
+    return both.select("comp", "pcomp", "text", "ptext").mapInArrow(run, "a long, b long").distinct()
 
 
-def _held_elsewhere(texts: DataFrame, shingle: int) -> DataFrame:
-    """(id, s): how many of a text's distinct shingles at least one other text holds."""
-
-    def compute(part: pa.RecordBatch):
-        sets = [shingle_hashes(raw.lower().split(), shingle) for raw in common.raw_texts(part, "text")]
-        ids = np.repeat(part.column(0).to_numpy(), [len(x) for x in sets])
-        yield {"id": ids, "h": np.concatenate(sets).view(np.int64)}
-
-    rows = common.emit_rows(texts, "text", "id long, h long", compute)
-    alone = rows.groupBy("h").agg(F.min("id").alias("id"), F.max("id").alias("last")).filter("id = last")
-    return alone.groupBy("id").agg(F.count("*").alias("alone"))
+def _merged(labels: common.Stage | None, fresh: DataFrame) -> common.Stage:
+    """Labels (node, comp) after the components in fresh, labelled alike, have come together."""
+    if labels is None:
+        return common.Stage(fresh, "labels")
+    up = fresh.select(F.col("node").alias("comp"), F.col("comp").alias("higher"))
+    moved = labels.df.join(up, "comp", "left").select("node", F.coalesce("higher", "comp").alias("comp"))
+    out = common.Stage(moved.unionByName(fresh.join(labels.df.select("node"), "node", "left_anti")), "labels")
+    labels.drop()
+    return out
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, bands: int = 24) -> DataFrame:
     """(id_col, n_shingles, component_id, kept) for every row; components of all links of at least percent."""
-    spark = docs.sparkSession
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    rows = rows_for(percent / 100, bands)
-    signed = common.Stage(signatures(src, shingle, bands, rows), "signatures")
+    signed = common.Stage(signatures(src, shingle, bands, rows_for(percent / 100, bands)), "signatures")
+    rows = common.Stage(signed.df.select("id", "n", "text_key"), "members")
     full = signed.df.filter("n > 0 and id is not null")
-    reps = full.groupBy("set_key").agg(F.min("id").alias("rep"))
-    members = common.Stage(signed.df.select("id", "n", "set_key").join(reps, "set_key", "left").select("id", "n", F.when(F.col("id").isNotNull() & (F.col("n") > 0), F.col("rep")).alias("rep")), "members")
-
-    heads = full.join(reps.select(F.col("rep").alias("id"), "set_key"), ["id", "set_key"], "left_semi").dropDuplicates(["id"])
-    cells = heads.select("id", "n", F.col("n").alias("s"), F.explode("bands").alias("key"))
-    shared = cells.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1").select("key")
-    buckets = common.Stage(cells.join(shared, "key").select("id", "n", "s", "key", F.col("id").alias("comp")), "buckets")
+    heads = common.Stage(full.groupBy("text_key").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "heads")
     signed.drop()
-    common.free_shuffles(spark)
-    texts = None
-    labels = None
-    links: DataFrame | None = None
-    pivots = 1
-    while True:
-        mixed = buckets.df.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
-        live = common.Stage(buckets.df.join(mixed, "key", "left_semi"), "buckets")
+    labels = _links(src, heads.df, shingle, percent)
+
+    of_class = heads.df.select("text_key", F.col("id").alias("rep"))
+    if labels is not None:
+        of_class = of_class.join(labels.df, F.col("rep") == F.col("node"), "left").select("text_key", F.coalesce("comp", "rep").alias("rep"))
+    classes = common.Stage(of_class, "classes")
+    heads.drop()
+    counted = F.col("id").isNotNull() & (F.col("n") > 0)
+    member = rows.df.filter(counted).join(classes.df, "text_key").select("id", "n", "rep")
+    out = member.unionByName(rows.df.filter(~counted).select("id", "n", F.col("id").alias("rep")))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("rep").alias("component_id"), F.coalesce(F.col("id") == F.col("rep"), F.lit(True)).alias("kept"))
+
+
+def _links(src: DataFrame, heads: DataFrame, shingle: int, percent: int) -> common.Stage | None:
+    """Components (node, comp) of all links between the classes' heads; None if there is no bucket."""
+    cells = heads.select("id", F.explode("bands").alias("key"))
+    first = common.Stage(cells.groupBy("key").agg(F.min("id").alias("pid"), F.max("id").alias("last")).filter("pid <> last").select("key", "pid"), "first")
+    buckets = common.Stage(cells.join(first.df, "key"), "buckets")
+    first.drop()
+    if buckets.df.isEmpty():
         buckets.drop()
+        return None
+    # merge joins at every size, so that what is shuffled grows evenly with the input
+    wanted = buckets.df.select("id").distinct().hint("merge")
+    texts = common.Stage(src.join(wanted, "id", "left_semi").withColumn("h", F.xxhash64("text")).dropDuplicates(["id", "h"]).drop("h"), "texts")
+    sketched = heads.select("id", "n", "sketch")
+    pivot = sketched.select(F.col("id").alias("pid"), F.col("n").alias("pn"), F.col("sketch").alias("psketch"))
+
+    pairs = buckets.df.filter("id <> pid").select("id", "pid").distinct().join(sketched, "id").join(pivot, "pid").filter(_can_link(percent))
+    pairs = common.Stage(pairs.select("id", "pid", F.col("id").alias("comp"), F.col("pid").alias("pcomp")).distinct(), "pairs")
+    rest = common.Stage(buckets.df.filter("id <> pid").select("key", "id"), "buckets")
+    buckets.drop()
+    labels, pivots = None, 1
+    while True:
+        edges = common.Stage(_confirm(pairs.df, texts.df, shingle, percent), "links")
+        pairs.drop()
+        labels = _merged(labels, common.components(edges.df))
+        edges.drop()
+        sizes = common.Stage(labels.df.groupBy("comp").agg(F.count("*").alias("size")), "sizes")
+        placed = rest.df.join(labels.df, F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
+        sized = common.Stage(placed.join(sizes.df, "comp", "left").select("key", "id", "comp", F.coalesce("size", F.lit(1)).alias("size")), "buckets")
+        rest.drop()
+        sizes.drop()
+        mixed = common.Stage(sized.df.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key"), "mixed")
+        live = common.Stage(sized.df.join(mixed.df, "key"), "buckets")
+        sized.drop()
+        mixed.drop()
         if live.df.isEmpty():
-            break
-        # merge joins at every size, so that what is shuffled grows evenly with the input
-        wanted = live.df.select("id").distinct().hint("merge")
-        fresh = common.Stage((src if texts is None else texts.df).join(wanted, "id", "left_semi"), "texts")
-        if texts is not None:
+            live.drop()
             texts.drop()
-        texts = fresh
-        common.free_shuffles(spark)
-        alone = _held_elsewhere(texts.df, shingle)
-        sizes = live.df.select("id", "comp").distinct().groupBy("comp").agg(F.count("*").alias("size"))
-        counted = live.df.drop("s").join(alone, "id", "left").withColumn("s", F.col("n") - F.coalesce("alone", F.lit(0))).join(sizes, "comp")
-        able = common.Stage(counted.filter(100 * F.col("s") >= percent * F.col("n")).select("id", "n", "s", "key", "comp", "size"), "buckets")
-        live.drop()
-        live = able
+            return labels
         # small components come first: what is left to compare lies between them and the large ones
-        nth = F.row_number().over(Window.partitionBy("key").orderBy("size", (F.col("n") - F.col("s")) / F.col("n"), "id"))
-        chosen = common.Stage(live.df.withColumn("nth", nth).filter(F.col("nth") <= pivots).select("key", F.col("id").alias("pid"), F.col("n").alias("pn"), F.col("s").alias("ps"), F.col("comp").alias("pcomp")), "pivots")
-        most = F.least("s", "ps")
-        near = (F.col("comp") != F.col("pcomp")) & (100 * most >= percent * (F.col("n") + F.col("pn") - most))
-        pairs = live.df.join(chosen.df, "key").filter(near).select(F.greatest("id", "pid").alias("a"), F.least("id", "pid").alias("b")).distinct()
-        found = common.Stage(_confirm(pairs, texts.df, shingle, percent).distinct(), "links")
-        links = found.df if links is None else links.unionByName(found.df)
-        labels = common.components(links)
-        rest = live.df.join(chosen.df.select("key", F.col("pid").alias("id")), ["key", "id"], "left_anti")
-        joined = rest.drop("comp", "size").join(labels, rest.id == labels.node, "left")
-        buckets = common.Stage(joined.select("id", "n", "s", "key", F.coalesce("comp", "id").alias("comp")), "buckets")
+        pivots *= 16
+        least = F.min(F.struct("size", F.xxhash64("id").alias("h"), "id", "comp"))
+        chosen = common.Stage(live.df.groupBy("key", F.pmod(F.xxhash64("id"), F.lit(pivots)).alias("part")).agg(least.alias("p")).select("key", F.col("p.id").alias("pid"), F.col("p.comp").alias("pcomp")), "pivots")
+        near = live.df.join(sketched, "id").join(chosen.df.join(pivot, "pid"), "key").filter((F.col("comp") != F.col("pcomp")) & _can_link(percent))
+        pairs = common.Stage(near.select("id", "pid", "comp", "pcomp").distinct(), "pairs")
+        rest = common.Stage(live.df.join(chosen.df.select("key", F.col("pid").alias("id")), ["key", "id"], "left_anti").select("key", "id"), "buckets")
         live.drop()
         chosen.drop()
-        pivots *= 8
-        common.free_shuffles(spark)
-    out = members.df
-    if labels is not None:
-        out = out.join(labels, out.rep == labels.node, "left").select("id", "n", F.coalesce("comp", "rep").alias("comp"))
-    else:
-        out = out.select("id", "n", F.col("rep").alias("comp"))
-    component = F.coalesce("comp", "id")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
 
 def op1_near_dedup(spark, sf_dir: str) -> DataFrame:

@@ -405,10 +405,8 @@ def repeats(docs: DataFrame, span: int = 100, gram: int = 32) -> DataFrame:
         raise ValueError("1 <= gram < span <= 255")
     spark = docs.sparkSession
     settled = common.Stage(_settle_contexts(_anchor_rows(docs, span, gram)), "settled")
-    common.free_shuffles(spark)
     wanted = settled.df.filter("kind = 1").select("key", "doc", F.col("a").alias("place"))
     solved = common.Stage(_solve(_fetch(wanted, docs), span, gram), "solved")
-    common.free_shuffles(spark)
     return settled.df.filter("kind = 0").select("doc", "a", "b").unionByName(solved.df)
 
 
