@@ -2,27 +2,32 @@
 
 Regular expressions with checks (octet range, Luhn, digit counts) give the base spans, which
 always stay. A CRF then labels the document's candidate tokens (those holding a digit or an
-at sign) as other, email, ip, card or phone. Neighbouring candidates share chain potentials;
-repeated or similar tokens anywhere in the document share skip potentials. Tokens in base
+at sign) as other, email, ip, card or phone. Close neighbours share chain potentials; equal
+tokens and similar ones (the same last or first seven digits, or the same address but for its domain's
+ending) share two kinds of skip potentials, anywhere in the document. Tokens in base
 spans are observed; loopy message passing carries their labels to the distant mentions that
 the expressions cannot see, such as a phone number repeated without its plus sign. Runs of
 one label become added spans if they are plausible for their kind and touch no base span.
 
-Node weights are fitted by multinomial logistic regression, and the chain and skip potentials
-from label agreement counts, on the base labels of a bounded sample of documents.
+Node weights and all pair potentials are trained together, by gradient steps on the log
+likelihood of the base labels in a bounded sample of documents (its prior is default_model).
+Each step runs message passing twice, once with the labels held and once free, and moves along the
+difference of expected counts. A token without base label that is linked to one of a
+labelled kind is hidden: it is left free in both, so that missed mentions do not teach that
+copies disagree.
 
-Equal tokens are linked in the order of their occurrence (each to the previous and the first
-one), so links grow with the tokens, not with their square.
+Links. Equal tokens are linked in the order of their occurrence (each to the previous and the
+first one), similar ones to the first of their likeness, so links grow with the tokens, not
+with their square.
 
-Cases: null text counts as empty and has no spans; repeated rows give repeated results; an
-empty sample falls back to default potentials; texts are read whole. Columns named like the
-outputs give way.
+Cases: null text counts as empty and has no spans; a null id is scored and may be sampled like any
+other; repeated rows give repeated results; an empty sample leaves the default potentials;
+texts are read whole. Columns named like the outputs give way.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -127,82 +132,108 @@ def token_key(token: str) -> str:
     return token.lower() if "@" in token or not digits or any(c.isalpha() for c in token) else digits if "." not in token else token
 
 
+LABELS, CHAIN, EQUAL, SIMILAR = 5, 0, 1, 2
+
+
 @dataclass
 class Crf:
-    """Log potentials: node weights (features x labels), chain and skip agreement."""
+    """Log potentials: node weights (features x labels) and label pairs of chain, equal and similar links."""
 
     weights: np.ndarray
-    chain: np.ndarray
-    skip: float
+    pairs: np.ndarray
     rounds: int = 12
 
 
 def default_model() -> Crf:
-    w = np.zeros((N_FEATURES, 5))
+    w = np.zeros((N_FEATURES, LABELS))
     w[0, 0] = 3.0
     w[1, 1] = 2.5
-    return Crf(w, 0.5 * np.eye(5), 4.0)
+    return Crf(w, np.stack([0.5, 4.0, 2.0])[:, None, None] * np.eye(LABELS))
 
 
 def labels_of(tokens, spans) -> np.ndarray:
-    """Label number of the base span that a token overlaps, or 0."""
+    """Label number of the first base span that a token overlaps, or 0."""
     y, at = np.zeros(len(tokens), int), 0
     for i, (s, e) in enumerate(tokens):
         while at < len(spans) and spans[at][2] <= s:
             at += 1
-        for kind, a, b in spans[at : at + 4]:
-            if a < e and s < b:
-                y[i] = KINDS.index(kind) + 1
-                break
+        j = at
+        while j < len(spans) and spans[j][1] < e and not y[i]:
+            if spans[j][2] > s:
+                y[i] = KINDS.index(spans[j][0]) + 1
+            j += 1
     return y
 
 
-def links_of(text: str, tokens) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """Chain edges between close neighbours and skip edges between equal or similar tokens."""
-    chain = [(i, i + 1) for i in range(len(tokens) - 1) if tokens[i + 1][0] - tokens[i][1] <= 3]
-    skip, first, last, tails = [], {}, {}, {}
+def likenesses(key: str) -> list[str]:
+    """What similar tokens share."""
+    if "@" in key:
+        return [key.rpartition(".")[0] or key]
+    return ["<" + key[:7], ">" + key[-7:]] if len(key) >= 7 else []
+
+
+def links_of(text: str, tokens) -> tuple[np.ndarray, np.ndarray]:
+    """(links, kinds): chain links of close neighbours, skip links of equal and of similar tokens."""
+    links = [(i, i + 1, CHAIN) for i in range(len(tokens) - 1) if tokens[i + 1][0] - tokens[i][1] <= 3]
+    first, last, like = {}, {}, {}
     for i, (s, e) in enumerate(tokens):
         key = token_key(text[s:e])
         if len(key) < 3:
             continue
         if key in last:
-            skip.append((last[key], i))
+            links.append((last[key], i, EQUAL))
             if first[key] != last[key]:
-                skip.append((first[key], i))
+                links.append((first[key], i, EQUAL))
         else:
             first[key] = i
-            tail = key[-7:]
-            if len(key) >= 7:
-                if tail in tails:
-                    skip.append((tails[tail], i))
-                tails.setdefault(tail, i)
+            for other in sorted({like.setdefault(x, i) for x in likenesses(key)} - {i}):
+                links.append((other, i, SIMILAR))
         last[key] = i
-    return chain, skip
-
-
-def infer(model: Crf, node: np.ndarray, chain, skip) -> np.ndarray:
-    """Posterior label shares by loopy sum-product with damping."""
-    n = len(node)
-    edges = np.array([*chain, *skip], int).reshape(-1, 2)
-    if len(edges):
-        pair = np.stack([model.chain] * len(chain) + [model.skip * np.eye(5)] * len(skip))
-        src, dst = np.concatenate([edges[:, 0], edges[:, 1]]), np.concatenate([edges[:, 1], edges[:, 0]])
-        pot = np.concatenate([pair, pair.transpose(0, 2, 1)])
-        back = np.concatenate([np.arange(len(edges)) + len(edges), np.arange(len(edges))])
-        msg = np.zeros((len(src), 5))
-        for _ in range(model.rounds):
-            belief = node.copy()
-            np.add.at(belief, dst, msg)
-            out = belief[src] - msg[back]
-            new = np.logaddexp.reduce(out[:, :, None] + pot, axis=1)
-            new -= new.max(1, keepdims=True)
-            if np.abs(new - msg).max() < 1e-3:
-                break
-            msg = 0.5 * msg + 0.5 * new
-        node = node.copy()
-        np.add.at(node, dst, msg)
-    soft = np.exp(node - node.max(1, keepdims=True))
-    return soft / soft.sum(1, keepdims=True)
+    table = np.array(links, np.int64).reshape(-1, 3)
+    return table[:, :2], table[:, 2]
+
+
+def _softmax(x: np.ndarray) -> np.ndarray:
+    soft = np.exp(x - x.max(-1, keepdims=True))
+    return soft / soft.sum(-1, keepdims=True)
+
+
+def propagate(model: Crf, node: np.ndarray, links: np.ndarray, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Beliefs of tokens (n x 5) and of links (m x 5 x 5) by damped loopy sum-product; exact on trees."""
+    m = len(links)
+    if not m:
+        return _softmax(node), np.zeros((0, LABELS, LABELS))
+    pot = model.pairs[kinds]
+    src, dst = np.concatenate((links[:, 0], links[:, 1])), np.concatenate((links[:, 1], links[:, 0]))
+    factor = np.exp(np.concatenate((model.pairs, model.pairs.transpose(0, 2, 1))))[np.concatenate((kinds, kinds + len(model.pairs)))]
+    back = np.concatenate((np.arange(m) + m, np.arange(m)))
+    order = np.argsort(dst, kind="stable")
+    met, first = np.unique(dst[order], return_index=True)
+
+    def beliefs(msg):
+        out = node.copy()
+        out[met] += np.add.reduceat(msg[order], first)
+        return out
+
+    msg = np.zeros((2 * m, LABELS))
+    for step in range(model.rounds):
+        rest = beliefs(msg)[src] - msg[back]
+        new = np.log(np.matmul(np.exp(rest - rest.max(1, keepdims=True))[:, None, :], factor)[:, 0])
+        new -= new.max(1, keepdims=True)
+        if np.abs(new - msg).max() < 1e-6:
+            break
+        msg = new if step < 2 else 0.5 * (msg + new)
+    belief = beliefs(msg)
+    edge = (belief[links[:, 0]] - msg[back[:m]])[:, :, None] + pot + (belief[links[:, 1]] - msg[:m])[:, None, :]
+    return _softmax(belief), _softmax(edge.reshape(m, -1)).reshape(m, LABELS, LABELS)
+
+
+def held_to(node: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Node potentials with the labels y observed; -1 is hidden."""
+    out, seen = node.copy(), np.flatnonzero(y >= 0)
+    out[seen] = -30.0
+    out[seen, y[seen]] = 0.0
+    return out
 
 
 def plausible(kind: str, token: str) -> bool:
@@ -225,11 +256,8 @@ def find(text: str, model: Crf) -> tuple[list[tuple[str, int, int]], list[tuple[
     y = labels_of(tokens, spans)
     if y.all():
         return spans, []
-    node = token_features(text, tokens) @ model.weights
-    seen = np.flatnonzero(y)
-    node[seen] = -30.0
-    node[seen, y[seen]] = 0.0
-    best = infer(model, node, *links_of(text, tokens)).argmax(1)
+    node = held_to(token_features(text, tokens) @ model.weights, np.where(y > 0, y, -1))
+    best = propagate(model, node, *links_of(text, tokens))[0].argmax(1)
     added, i = [], 0
     while i < len(tokens):
         if best[i] and not y[i]:
@@ -244,74 +272,98 @@ def find(text: str, model: Crf) -> tuple[list[tuple[str, int, int]], list[tuple[
     return spans, added
 
 
-_CHAIN, _SKIP = 1 << 24, 2 << 24
-
-
-def counts_of(text: str) -> Counter:
-    """How often a text holds each pair of features and base label, each pair of chained labels, and equal or other skip labels."""
+def graph_of(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(feature bits, labels, links, kinds) of a text; -1 labels hidden tokens."""
     tokens = tokens_of(text)
-    if not tokens:
-        return Counter()
     y = labels_of(tokens, base_spans(text))
+    links, kinds = links_of(text, tokens)
     bits = token_features(text, tokens).astype(np.int64) @ (1 << np.arange(N_FEATURES))
-    out = Counter((bits | y << N_FEATURES).tolist())
-    chain, skip = links_of(text, tokens)
-    out.update(_CHAIN | int(5 * y[a] + y[b]) for a, b in chain)
-    out.update(_SKIP | int(y[a] == y[b]) for a, b in skip)
-    return out
-
-
-def solve(counts: dict[int, int]) -> Crf:
-    """Fit on the summed counts_of all texts; features are 0 or 1, so nothing is lost by counting."""
-    model = default_model()
-    nodes = sorted(c for c in counts if c < _CHAIN)
-    if not nodes:
-        return model
-    move = np.ones((5, 5))
-    for c, n in counts.items():
-        if _CHAIN <= c < _SKIP:
-            move[divmod(c - _CHAIN, 5)] += n
-    same, other = 1.0 + counts.get(_SKIP | 1, 0), 1.0 + counts.get(_SKIP, 0)
-    code = np.array(nodes)
-    x, target = (code[:, None] >> np.arange(N_FEATURES) & 1).astype(float), np.eye(5)[code >> N_FEATURES]
-    part = np.array([counts[c] for c in nodes], float)
-    part = (part / part.sum())[:, None]
-    w = model.weights.copy()
-    for _ in range(300):
-        z = x @ w
-        p = np.exp(z - z.max(1, keepdims=True))
-        p /= p.sum(1, keepdims=True)
-        w -= 2.0 * (x.T @ (part * (p - target)) + 1e-3 * (w - model.weights))
-    share = move / move.sum()
-    chain = np.log(share / (share.sum(1, keepdims=True) * share.sum(0, keepdims=True)))
-    return Crf(w, np.clip(chain, -2, 2), float(np.clip(np.log(4 * same / other), 2.0, 6.0)))
+    skip = links[kinds != CHAIN]
+    for a, b in ((0, 1), (1, 0)):
+        near = skip[:, a][(y[skip[:, a]] <= 0) & (y[skip[:, b]] > 0)]
+        y[near] = -1
+    return bits, y, links, kinds
+
+
+def joined(graphs) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """One graph of many, unconnected."""
+    sizes = np.cumsum([0, *(len(g[0]) for g in graphs)])
+    return (
+        np.concatenate([g[0] for g in graphs]), np.concatenate([g[1] for g in graphs]),
+        np.concatenate([g[2] + at for g, at in zip(graphs, sizes)]), np.concatenate([g[3] for g in graphs]),
+    )
+
+
+def gradient(model: Crf, graph) -> np.ndarray:
+    """Observed minus expected counts of features and label pairs, then the number of tokens."""
+    bits, y, links, kinds = graph
+    x = (bits[:, None] >> np.arange(N_FEATURES) & 1).astype(float)
+    node = x @ model.weights
+    free, free_pairs = propagate(model, node, links, kinds)
+    held, held_pairs = propagate(model, held_to(node, y), links, kinds)
+    pairs = np.zeros_like(model.pairs)
+    np.add.at(pairs, kinds, held_pairs - free_pairs)
+    return np.concatenate(((x.T @ (held - free)).ravel(), pairs.ravel(), [len(bits)]))
+
+
+def climb(gradients, steps: int = 24, rate: float = 0.25, ridge: float = 1e-3) -> Crf:
+    """Adam on the mean log likelihood less a ridge around default_model; gradients(model) sums gradient over the sample."""
+    prior = default_model()
+    at = np.concatenate((prior.weights.ravel(), prior.pairs.ravel()))
+    origin, first, second = at.copy(), np.zeros(len(at)), np.zeros(len(at))
+    made = lambda v, rounds: Crf(v[: prior.weights.size].reshape(prior.weights.shape).copy(), v[prior.weights.size :].reshape(prior.pairs.shape).copy(), rounds)
+    for step in range(1, steps + 1):
+        total = gradients(made(at, 5))
+        if not total[-1]:
+            return prior
+        slope = total[:-1] / total[-1] - ridge * (at - origin)
+        skip = slope[prior.weights.size :].reshape(prior.pairs.shape)
+        skip[EQUAL:] = 0.5 * (skip[EQUAL:] + skip[EQUAL:].transpose(0, 2, 1))  # skip links have no direction
+        first, second = 0.9 * first + 0.1 * slope, 0.99 * second + 0.01 * slope**2
+        at = at + rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-6)
+    return made(at, prior.rounds)
 
 
 def train(texts: list[str]) -> Crf:
     """Fit on the base labels of the given texts."""
-    counts = Counter()
-    for text in texts:
-        counts.update(counts_of(text))
-    return solve(counts)
+    graph = joined([graph_of(t) for t in texts]) if texts else None
+    return climb(lambda model: gradient(model, graph)) if texts else default_model()
+
+
+GRAPHS = "bits array<long>, labels array<long>, ends array<long>, kinds array<long>"
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = 2000) -> Crf:
     """Train on sample_docs documents with digits or at signs, taken in hash order of the id.
 
-    Ids travel before texts; executors read the sampled texts whole, and only counts reach the driver.
+    Ids travel before texts; executors read the sampled texts whole, keep their graphs in the shared
+    folder and send sums of counts, which have a fixed size, at each step.
     """
     marked = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).filter(F.col("_text").rlike("[0-9@]"))
     chosen = marked.select(F.col("_id").alias("_chosen")).orderBy(F.xxhash64("_chosen"), "_chosen").limit(sample_docs).distinct()
     sample = marked.join(F.broadcast(chosen), F.col("_id").eqNullSafe(F.col("_chosen")), "left_semi")
 
     def compute(part: pa.RecordBatch):
-        counts = Counter()
-        for text in part.column(part.schema.get_field_index("_text")).to_pylist():
-            counts.update(counts_of(text))
-        yield {"code": pa.array(list(counts.keys()), pa.int64()), "n": pa.array(list(counts.values()), pa.int64())}
+        graphs = [graph_of(t) for t in part.column(part.schema.get_field_index("_text")).to_pylist()]
+        lists = lambda rows: pa.array([np.asarray(r).ravel() for r in rows], pa.list_(pa.int64()))
+        yield {name: lists([g[i] for g in graphs]) for i, name in enumerate(("bits", "labels", "ends", "kinds"))}
+
+    graphs = common.Stage(common.emit_rows(sample, "_text", GRAPHS, compute).repartition(8), "pii-graphs")
+
+    def summed(model: Crf) -> np.ndarray:
+        def run(batches):
+            for batch in batches:
+                if batch.num_rows:
+                    cols = [[np.asarray(r, np.int64) for r in c.to_pylist()] for c in batch.columns]
+                    graph = joined([(bits, y, ends.reshape(-1, 2), kinds) for bits, y, ends, kinds in zip(*cols)])
+                    yield pa.RecordBatch.from_arrays([pa.array([gradient(model, graph)], pa.list_(pa.float64()))], names=["sums"])
+
+        rows = graphs.df.mapInArrow(run, "sums array<double>").collect()
+        return np.sum([r["sums"] for r in rows], axis=0) if rows else np.zeros(1)
 
-    rows = common.emit_rows(sample, "_text", "code long, n long", compute).groupBy("code").agg(F.sum("n").alias("n")).collect()
-    return solve({r["code"]: r["n"] for r in rows})
+    model = climb(summed)
+    graphs.drop()
+    return model
 
 
 SPAN = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("added", pa.bool_())])
@@ -367,4 +419,8 @@ def op10_pii(spark, sf_dir: str) -> DataFrame:
     base = F.filter("pii_spans", lambda s: ~s["added"])
     written = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     count = lambda kind: F.size(F.filter("pii_spans", lambda s: (s["kind"] == kind) & ~s["added"])).cast("long").alias(f"n_{kind}")
-    return found.select("doc_id", *[count(k) for k in KINDS], F.sha2(written(base), 256).alias("base_sha256"), written(F.col("pii_spans")).alias("spans"))
+    spans = F.col("pii_spans")
+    return found.select(
+        "doc_id", *[count(k) for k in KINDS], F.sha2(written(base), 256).alias("base_sha256"), written(spans).alias("spans"),
+        F.size(spans).cast("long").alias("n_spans"), F.size(F.filter(spans, lambda s: s["added"])).cast("long").alias("n_added"),
+    )
