@@ -2,14 +2,17 @@
 
 Messages are rows (conv_id, turn, role, text). Tool calls and results are joined by their
 identifier in a hash join; messages are ordered topologically by depth along the links
-(every message follows the one it answers), found by pointer doubling so that one very long
-conversation needs a logarithmic number of joins and no task holds it whole; arguments are
+(a result follows its call, any other message the one before it, whatever the gap between
+their turns), found by pointer doubling so that one very long
+conversation needs a logarithmic number of joins; position numbers a conversation's turns from 1 in that order.
+Neighbours and positions come from a range sort whose partitions are numbered
+separately and then shifted, so that no task holds a conversation whole. Arguments are
 validated against a table of field schemas; messages are serialised as canonical JSON (keys
 sorted, no spaces, null fields left out).
 
 Cases: a result without a call is an orphan, a call without a result is open; a repeated
 identifier is resolved to its first call (smallest turn); links that run in a circle
-have a null depth; arguments that are not a JSON object are invalid and serialised as a
+have a null depth and come last; a null conversation or turn has neither depth nor position; arguments that are not a JSON object are invalid and serialised as a
 string; null texts and null roles are left out of the JSON; empty tables give no rows.
 Repeated (conv_id, turn) rows share their links and are each returned. Columns other than
 the four are ignored.
@@ -19,6 +22,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from gridloom.llm import common
 
@@ -75,6 +79,24 @@ def depths(nodes: DataFrame) -> DataFrame:
         now, spans = after, spans * 2
 
 
+def in_order(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Distinct rows of (conv_id, *by) with position, from 1 in by's order within their conversation, and
+    before: the turn one position ahead, if any. A sorted partition is the most that a task meets."""
+    cut = common.Stage(rows.repartitionByRange("conv_id", *by).withColumn("_part", F.spark_partition_id()), "ordered").df
+    chunk = Window.partitionBy("conv_id", "_part").orderBy(*by)
+    ends = common.Stage(cut.groupBy("conv_id", "_part").agg(F.count("*").alias("_n"), F.max(F.struct(*by, F.col("turn").alias("_turn")))["_turn"].alias("_last")), "chunks").df
+    chunks = Window.partitionBy("conv_id").orderBy("_part")  # no more rows than partitions
+    shifts = common.Stage(ends.select("conv_id", "_part", F.coalesce(F.sum("_n").over(chunks.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_shift"), F.lag("_last").over(chunks).alias("_ahead")), "shifts").df
+    numbered = cut.select("*", F.row_number().over(chunk).alias("_nth"), F.lag("turn").over(chunk).alias("_near")).join(shifts, ["conv_id", "_part"])
+    return numbered.withColumns({"position": F.col("_nth") + F.col("_shift"), "before": F.coalesce("_near", "_ahead")}).drop("_part", "_nth", "_near", "_shift", "_ahead")
+
+
+def turns_of(messages: DataFrame) -> DataFrame:
+    """(conv_id, turn, before) of each turn: the turn that comes ahead of it in its conversation."""
+    rows = messages.filter("conv_id is not null and turn is not null").select("conv_id", F.col("turn").cast("long").alias("turn")).distinct()
+    return common.Stage(in_order(rows, ["turn"]).select("conv_id", "turn", "before"), "turns").df
+
+
 def validate(calls: DataFrame, schemas: DataFrame) -> DataFrame:
     """Add valid to calls (name, arguments as JSON text, ...).
 
@@ -109,20 +131,24 @@ def tool_calls(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     return calls, results.filter("call_id is not null")
 
 
-def reply_calls(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Plain dialogue read as calls: a user turn calls the assistant, the next assistant turn is its result."""
+def reply_calls(messages: DataFrame, turns: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Plain dialogue read as calls: a user turn calls the assistant, and an assistant's message is the result of the turn before it."""
     name = lambda turn: F.concat(F.lit("call_"), F.col("conv_id").cast("string"), F.lit("_"), turn.cast("string"))
     args = F.to_json(F.struct(F.col("text").alias("prompt"), F.col("turn").alias("turn")))
     calls = messages.filter("role = 'user'").select("conv_id", name(F.col("turn")).alias("call_id"), "turn", F.lit("reply").alias("name"), args.alias("arguments"))
-    results = messages.filter("role = 'assistant'").select("conv_id", name(F.col("turn") - 1).alias("call_id"), "turn")
+    results = messages.filter("role = 'assistant'").join(turns.filter("before is not null"), ["conv_id", "turn"]).select("conv_id", name(F.col("before")).alias("call_id"), "turn")
     return calls, results
 
 
 REPLY_SCHEMA = [("reply", "prompt", "string", True), ("reply", "turn", "integer", True)]
 
 
-def format_chats(messages: DataFrame, calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
-    """One row per message with its links, validity, topological depth and canonical JSON."""
+def format_chats(messages: DataFrame, calls: DataFrame, results: DataFrame, schemas: DataFrame, turns: DataFrame | None = None) -> DataFrame:
+    """One row per message with its links, validity, topological depth and position, and canonical JSON.
+
+    turns: what turns_of(messages) gives, if it is at hand.
+    """
+    turns = turns_of(messages) if turns is None else turns
     links = link(calls, results)
     checked = validate(calls, schemas)
     packed = (
@@ -139,10 +165,12 @@ def format_chats(messages: DataFrame, calls: DataFrame, results: DataFrame, sche
     )
     rows = messages.select("conv_id", "turn", "role", "text")
     # a result follows its call; any other message follows the turn before it
-    steps = rows.select("conv_id", "turn").distinct().join(answered, ["conv_id", "turn"], "left")
+    steps = turns.join(answered.select("conv_id", "turn", "call_turn"), ["conv_id", "turn"], "left")
     node = lambda turn: F.struct("conv_id", turn.cast("long").alias("turn"))
-    forest = steps.filter("conv_id is not null and turn is not null").select(node(F.col("turn")).alias("node"), node(F.coalesce("call_turn", F.col("turn") - 1)).alias("parent"))
-    depth = depths(forest).select(F.col("node.conv_id").alias("conv_id"), F.col("node.turn").alias("turn"), "depth")
+    forest = steps.select(node(F.col("turn")).alias("node"), node(F.coalesce("call_turn", "before")).alias("parent"))
+    deep = depths(forest).select(F.col("node.conv_id").alias("conv_id"), F.col("node.turn").alias("turn"), "depth")
+    placed = in_order(deep.withColumn("_circle", F.col("depth").isNull()), ["_circle", "depth", "turn"])
+    depth = placed.select("conv_id", "turn", "depth", F.col("position").cast("long").alias("position"))
     joined = (
         rows.join(packed, ["conv_id", "turn"], "left").join(answered.drop("call_turn"), ["conv_id", "turn"], "left").join(depth, ["conv_id", "turn"], "left")
     )
@@ -156,7 +184,7 @@ def format_chats(messages: DataFrame, calls: DataFrame, results: DataFrame, sche
         "conv_id", "turn", "role", F.coalesce(F.size("_calls"), F.lit(0)).cast("long").alias("n_calls"),
         F.coalesce(F.forall("_calls", lambda c: c["valid"]), F.lit(True)).alias("valid"),
         F.coalesce("_how", F.when(F.size("_calls") > 0, F.col("_calls")[0]["status"]), F.lit("plain")).alias("status"),
-        F.col("_answers").alias("answers"), "depth", F.concat(F.lit("{"), body, F.lit("}")).alias("json"),
+        F.col("_answers").alias("answers"), "depth", "position", F.concat(F.lit("{"), body, F.lit("}")).alias("json"),
     )
 
 
@@ -168,30 +196,32 @@ def _text(value: Column) -> Column:
 
 def op9_chat_format(spark, sf_dir: str) -> DataFrame:
     messages = common.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    calls, results = reply_calls(messages)
+    turns = turns_of(messages)
+    calls, results = reply_calls(messages, turns)
     more_calls, more_results = tool_calls(messages)
     tools = spark.createDataFrame(REPLY_SCHEMA, "tool string, field string, type string, required boolean")
-    return format_chats(messages, calls.unionByName(more_calls), results.unionByName(more_results), tools)
+    return format_chats(messages, calls.unionByName(more_calls), results.unionByName(more_results), tools, turns)
 
 
 OP9_SQL = """
 with m as (select conv_id, turn, role, text from conversations),
 calls as (select conv_id, turn, min(text) t0, count(distinct text) nt, bool_and(text is not null) ok from m where role = 'user' group by all),
 res as (select distinct conv_id, turn from m where role = 'assistant'),
-steps as (select distinct conv_id, turn, turn - row_number() over (partition by conv_id order by turn) isle from (select distinct conv_id, turn from m)),
-dep as (select conv_id, turn, turn - min(turn) over (partition by conv_id, isle) depth from steps)
+steps as (select conv_id, turn, lag(turn) over (partition by conv_id order by turn) before, row_number() over (partition by conv_id order by turn) position from (select distinct conv_id, turn from m)),
+calling as (select c.conv_id, c.turn, bool_or(r.turn is not null) answered from calls c left join steps s on s.conv_id = c.conv_id and s.before = c.turn
+            left join res r on r.conv_id = s.conv_id and r.turn = s.turn group by all)
 select m.conv_id, m.turn, m.role,
   case when role = 'user' then 1 else 0 end::bigint n_calls,
   case when role = 'user' then m.text is not null else true end valid,
-  case when role = 'assistant' then (case when c.conv_id is null then 'orphan' else 'linked' end)
-       when role = 'user' then (case when r.conv_id is null then 'open' else 'linked' end) else 'plain' end status,
-  case when role = 'assistant' then 'call_' || m.conv_id || '_' || (m.turn - 1) end answers,
-  depth,
+  case when role = 'assistant' and before is not null then (case when c.conv_id is null then 'orphan' else 'linked' end)
+       when role = 'user' then (case when own.answered then 'linked' else 'open' end) else 'plain' end status,
+  case when role = 'assistant' and before is not null then 'call_' || m.conv_id || '_' || before end answers,
+  position - 1 depth, position,
   '{"content":' || to_json(m.text)::varchar || ',"role":' || to_json(m.role)::varchar
-  || case when role = 'assistant' then ',"tool_call_id":' || to_json('call_' || m.conv_id || '_' || (m.turn - 1))::varchar else '' end
+  || case when role = 'assistant' and before is not null then ',"tool_call_id":' || to_json('call_' || m.conv_id || '_' || before)::varchar else '' end
   || case when role = 'user' then ',"tool_calls":[{"arguments":{"prompt":' || to_json(m.text)::varchar || ',"turn":' || m.turn || '},"id":"call_' || m.conv_id || '_' || m.turn || '","name":"reply"}]' else '' end
   || '}' json
-from m left join calls c on c.conv_id = m.conv_id and c.turn = m.turn - 1
-left join res r on r.conv_id = m.conv_id and r.turn = m.turn + 1
-join dep d on d.conv_id = m.conv_id and d.turn = m.turn
+from m join steps s on s.conv_id = m.conv_id and s.turn = m.turn
+left join calls c on c.conv_id = m.conv_id and c.turn = s.before
+left join calling own on own.conv_id = m.conv_id and own.turn = m.turn
 """

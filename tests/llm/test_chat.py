@@ -48,3 +48,31 @@ def test_edges(spark):
     out = run(spark, rows).collect()
     assert len(out) == 5 and {r["status"] for r in out} == {"plain"}
     assert run(spark, []).count() == 0
+
+
+def test_order_follows_links_and_skips_gaps(spark):
+    call = json.dumps({"tool_calls": [{"id": "x", "name": "sum", "arguments": "{}"}]})
+    result = json.dumps({"tool_call_id": "x", "content": "3"})
+    messages = [(1, 5, "user", "a"), (1, 9, "assistant", call), (1, 11, "user", "meanwhile"), (1, 12, "user", "and"), (1, 40, "tool", result), (1, 41, "assistant", "done")]
+    got = {r["turn"]: r for r in run(spark, messages).collect()}
+    assert [got[t]["depth"] for t in (5, 9, 11, 12, 40, 41)] == [0, 1, 2, 3, 2, 3]  # the result follows its call
+    assert [got[t]["position"] for t in (5, 9, 11, 40, 12, 41)] == [1, 2, 3, 4, 5, 6]
+    # a result ahead of its call waits for it; a circle comes last
+    early = {r["turn"]: r for r in run(spark, [(1, 0, "user", "a"), (1, 1, "tool", result), (1, 2, "assistant", call)]).collect()}
+    assert [early[t]["depth"] for t in range(3)] == [0, None, None] and [early[t]["position"] for t in range(3)] == [1, 2, 3]
+
+
+def test_repeated_identifiers_go_to_the_first_call(spark):
+    call = lambda name: json.dumps({"tool_calls": [{"id": "x", "name": name, "arguments": "{}"}]})
+    result = json.dumps({"tool_call_id": "x", "content": "3"})
+    messages = [(1, 0, "assistant", call("one")), (1, 1, "assistant", call("two")), (1, 2, "tool", result), (1, 3, "tool", result), (2, 0, "tool", result)]
+    got = {(r["conv_id"], r["turn"]): r for r in run(spark, messages).collect()}
+    assert [got[1, t]["depth"] for t in range(4)] == [0, 1, 1, 1]
+    assert [got[k]["status"] for k in sorted(got)] == ["linked"] * 4 + ["orphan"]
+
+
+def test_long_conversation_spans_partitions(spark):
+    turns = list(range(0, 3000, 3))
+    df = spark.createDataFrame([(c, t, "user", "x") for c in (1, 2) for t in turns], "conv_id long, turn long, role string, text string").repartition(7)
+    got = {(r["conv_id"], r["turn"]): (r["position"], r["before"]) for r in chat.in_order(df.select("conv_id", "turn"), ["turn"]).collect()}
+    assert all(got[c, t] == (i + 1, turns[i - 1] if i else None) for c in (1, 2) for i, t in enumerate(turns))
