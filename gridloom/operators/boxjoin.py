@@ -22,7 +22,8 @@ LEAST, MOST = -60, 1000
 
 @dataclass
 class Extent:
-    """Statistics of a side: box of all boxes, row count and the rows of each raw level."""
+    """Statistics of a side: box of all boxes, row count and the rows of each raw level; of
+    polygons also the rows that are no rectangles and the bytes of all rows."""
 
     rows: int
     x0: float
@@ -30,6 +31,8 @@ class Extent:
     x1: float
     y1: float
     levels: dict[int, int]
+    others: int = 0
+    size: int = 0
 
     def floor_level(self, per_cell: float = 1.0) -> int:
         """Level whose cells hold about per_cell rows if rows were even over the extent."""
@@ -47,17 +50,20 @@ def raw_level(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
     return F.when(side > 0, F.greatest(F.lit(LEAST), F.ceil(F.log2(side)).cast("int"))).otherwise(F.lit(LEAST))
 
 
-def extent_of(df: DataFrame, box: tuple[Column, Column, Column, Column]) -> Extent:
+def extent_of(df: DataFrame, box: tuple[Column, Column, Column, Column], flat: Column | None = None, width: Column | None = None) -> Extent:
+    """flat: whether a row is a rectangle; width: its bytes."""
     x0, y0, x1, y1 = box
+    others = F.lit(0) if flat is None else F.count(F.when(~flat, 1))
+    size = F.lit(0) if width is None else F.sum(width)
     rows = (
         df.filter(valid(*box)).groupBy(raw_level(*box).alias("level"))
-        .agg(F.count("*").alias("n"), F.min(x0).alias("x0"), F.min(y0).alias("y0"), F.max(x1).alias("x1"), F.max(y1).alias("y1")).collect()
+        .agg(F.count("*").alias("n"), F.min(x0).alias("x0"), F.min(y0).alias("y0"), F.max(x1).alias("x1"), F.max(y1).alias("y1"), others.alias("others"), size.alias("size")).collect()
     )
     if not rows:
         return Extent(0, None, None, None, None, {})
     return Extent(
         sum(r["n"] for r in rows), min(r["x0"] for r in rows), min(r["y0"] for r in rows), max(r["x1"] for r in rows), max(r["y1"] for r in rows),
-        {r["level"]: r["n"] for r in rows},
+        {r["level"]: r["n"] for r in rows}, sum(r["others"] for r in rows), sum(r["size"] or 0 for r in rows),
     )
 
 
@@ -83,19 +89,19 @@ def _keyed(df: DataFrame, box, floor: int, others: list[int], mine: str, theirs:
     return levels.withColumn("_cx", F.explode(span(x0, x1))).withColumn("_cy", F.explode(span(y0, y1)))
 
 
-def box_join(left: DataFrame, left_box, right: DataFrame, right_box, right_extent: Extent, left_levels: list[int] | None = None, on: Column | None = None, closed: bool = True, broadcast_rows: int = 0) -> DataFrame:
+def box_join(left: DataFrame, left_box, right: DataFrame, right_box, right_extent: Extent, left_levels: list[int] | None = None, on: Column | None = None, broadcast_bytes: int = 0) -> DataFrame:
     """Inner join of rows whose boxes overlap (closed), on and any further condition on both.
 
     left_levels: raw levels of the left side; None means points (no size). Column names of the
-    two sides must differ. broadcast_rows: broadcast the right side if its extent shows at
-    most that many rows; else Spark chooses by size.
+    two sides must differ. broadcast_bytes: broadcast the right side if its counted bytes, times
+    the most keys that a row gets, are at most that many; else Spark chooses by size.
     """
     floor = right_extent.floor_level()
     r_levels = sorted({max(floor, v) for v in right_extent.levels}) or [floor]
     l_levels = sorted({max(floor, v) for v in left_levels}) if left_levels is not None else [floor]
     a = _keyed(left, left_box, floor, r_levels, "_ll", "_lr")
     b = _keyed(right, right_box, floor, l_levels, "_lr2", "_ll2").withColumnsRenamed({"_cx": "_cx2", "_cy": "_cy2"})
-    if broadcast_rows and right_extent.rows <= broadcast_rows:
+    if right_extent.size and 4 * len(l_levels) * right_extent.size <= broadcast_bytes:
         b = F.broadcast(b)
     (ax0, ay0, ax1, ay1), (bx0, by0, bx1, by1) = left_box, right_box
     same = (F.col("_ll") == F.col("_ll2")) & (F.col("_lr") == F.col("_lr2")) & (F.col("_cx") == F.col("_cx2")) & (F.col("_cy") == F.col("_cy2"))

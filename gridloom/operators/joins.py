@@ -11,15 +11,17 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from gridloom.functions import distance as dist
 from gridloom.functions import geometry as geo
 from gridloom.functions import kernels
 from gridloom.operators.boxjoin import Extent, box_join, cell, extent_of, valid
+from gridloom.operators.staging import staged
 
-#: A target side of at most this many rows may be broadcast; the count is known from its extent.
-BROADCAST_ROWS = 20_000
+#: A target side of at most this many bytes may be broadcast; they are counted with its extent.
+BROADCAST_BYTES = 64 << 20
 
 
 @dataclass
@@ -34,14 +36,12 @@ class Probe:
         return self.x, self.y, self.x, self.y
 
 
-def probe_side(query: DataFrame, x: str, y: str, number: bool = False) -> Probe:
+def probe_side(query: DataFrame, x: str, y: str) -> Probe:
     for c in (x, y):
         if c not in query.columns:
             raise ValueError(f"column {c!r} is not in the query frame")
     df = query.select(*[F.col(f"`{c}`").alias(f"q_{c}") for c in query.columns])
     df = df.withColumns({"_qx": F.col(f"`q_{x}`").cast("double"), "_qy": F.col(f"`q_{y}`").cast("double")})
-    if number:
-        df = df.withColumn("_qid", F.monotonically_increasing_id())
     return Probe(df.filter(valid(F.col("_qx"), F.col("_qy"))), query.columns, F.col("_qx"), F.col("_qy"))
 
 
@@ -53,20 +53,40 @@ def point_side(target: DataFrame, names: list[str], x: str, y: str) -> DataFrame
 def polygon_side(target: DataFrame, names: list[str], geometry: str) -> DataFrame:
     g = F.col("_tg")
     df = target.select(*[F.col(f"`{c}`").alias(f"t_{c}") for c in names], F.col(f"`{geometry}`").alias("_tg")).filter("_tg is not null and size(_tg) > 0")
-    df = df.withColumn("_tbox", geo.bounds(g))
-    return df.withColumns({"_tflat": geo.is_rectangle(g, F.col("_tbox")), "_tedges": geo.edges(g)})
+    # exploded, as merged projections would evaluate these again at each of their many uses
+    df = df.withColumn("_tbox", F.explode(F.array(geo.bounds(g))))
+    df = df.withColumn("_tflat", F.explode(F.array(geo.is_rectangle(g, F.col("_tbox")))))
+    return df.withColumn("_tedges", geo.edges(g))
 
 
-def polygon_contains(x: Column, y: Column) -> Column:
+def _width(df: DataFrame) -> Column:
+    """Bytes of a row, about; geometry counts by its edges, and other nested columns make a row too wide to broadcast."""
+    total = F.lit(64) + 48 * F.size("_tedges")
+    for f in df.schema.fields:
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            total = total + F.coalesce(F.octet_length(F.col(f"`{f.name}`")), F.lit(0))
+        elif f.name.startswith("t_") and isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)) and f.dataType != df.schema["_tg"].dataType:
+            total = total + F.lit(BROADCAST_BYTES)
+        else:
+            total = total + F.lit(8)
+    return total.cast("long")
+
+
+def polygon_extent(target: DataFrame, box) -> Extent:
+    return extent_of(target, box, F.col("_tflat"), _width(target))
+
+
+def polygon_contains(x: Column, y: Column, extent: Extent) -> Column:
     """Even-odd test; a rectangle is settled on its box, whose left and bottom borders are in."""
     b = F.col("_tbox")
     inside = (x >= b["x0"]) & (x < b["x1"]) & (y >= b["y0"]) & (y < b["y1"])
-    return F.when(F.col("_tflat"), inside).otherwise(geo.contains(F.col("_tedges"), x, y))
+    return inside if not extent.others else F.when(F.col("_tflat"), inside).otherwise(geo.contains(F.col("_tedges"), x, y))
 
 
-def polygon_distance(x: Column, y: Column) -> Column:
-    """Exact distance; a rectangle's is that of its box."""
-    return F.when(F.col("_tflat"), geo.box_distance(F.col("_tbox"), x, y)).otherwise(geo.distance(F.col("_tedges"), x, y))
+def polygon_distance(x: Column, y: Column, extent: Extent) -> Column:
+    """Exact distance; a rectangle's is that of its box. Where all are rectangles, no edges are read."""
+    plain = geo.box_distance(F.col("_tbox"), x, y)
+    return plain if not extent.others else F.when(F.col("_tflat"), plain).otherwise(geo.distance(F.col("_tedges"), x, y))
 
 
 def polygon_box(margin=None):
@@ -90,18 +110,20 @@ def within_distance(probe: Probe, target: DataFrame, d: float, system: str) -> D
     return box_join(probe.df, probe.box, target, reach, extent_of(target, reach), on=exact)
 
 
-def contains(probe: Probe, target: DataFrame, extent: Extent | None = None) -> DataFrame:
+def contains(probe: Probe, target: DataFrame) -> DataFrame:
     """A pair for every polygon that contains the probe."""
     box = polygon_box()
-    return box_join(probe.df, probe.box, target, box, extent or extent_of(target, box), on=polygon_contains(probe.x, probe.y), broadcast_rows=BROADCAST_ROWS)
+    extent = polygon_extent(target, box)
+    return box_join(probe.df, probe.box, target, box, extent, on=polygon_contains(probe.x, probe.y, extent), broadcast_bytes=BROADCAST_BYTES)
 
 
-def polygon_within_distance(probe: Probe, target: DataFrame, d: float, extent: Extent | None = None) -> DataFrame:
+def polygon_within_distance(probe: Probe, target: DataFrame, d: float) -> DataFrame:
     """A pair for every polygon at most d away from the probe (0 inside)."""
     box = polygon_box(F.lit(float(d)))
+    extent = polygon_extent(target, box)
     near = geo.box_distance(F.col("_tbox"), probe.x, probe.y) <= float(d)
-    exact = near & (polygon_distance(probe.x, probe.y) <= float(d))
-    return box_join(probe.df, probe.box, target, box, extent or extent_of(target, box), on=exact, broadcast_rows=BROADCAST_ROWS)
+    exact = near & (polygon_distance(probe.x, probe.y, extent) <= float(d)) if extent.others else near
+    return box_join(probe.df, probe.box, target, box, extent, on=exact, broadcast_bytes=BROADCAST_BYTES)
 
 
 def _search_radius(cells: DataFrame, points: DataFrame, extent: Extent, k: int, level: int) -> DataFrame:
@@ -137,75 +159,102 @@ def _search_radius(cells: DataFrame, points: DataFrame, extent: Extent, k: int,
     return cells.join(best, ["_cx", "_cy"], "left").select("_cx", "_cy", (F.least(F.coalesce(diagonal, far), far) * (1 + 1e-9)).alias("_r"))
 
 
-def _nearest(probe: Probe, target: DataFrame, box, points: tuple[Column, Column], measure: Column, bound: Column, k: int, tie: list[Column], full: DataFrame | None = None) -> DataFrame:
-    """Exact k nearest targets of each probe: cells of probes get a search radius, cells meet
-    targets in a box join, and each probe keeps its k best candidates.
+def _nearest(probe: Probe, target: DataFrame, box, extent: Extent, upper, bound: Column, measure: Column, k: int, tie: list[Column], full: DataFrame | None = None) -> DataFrame:
+    """Exact k nearest targets of each probe.
+
+    Probes of one place are answered once. Cells of places get a search radius from counts and
+    meet targets in a box join; the k-th least of upper(x, y) over a cell's corners (a convex
+    measure, so its most is at a corner) then limits the cell's targets to those that may be
+    among the k of any place in it. Places meet these in their cell's partition and keep the k best.
 
+    upper(x, y): no less than the distance to the target; bound: no more than it from the probe.
     full: the targets with their geometry by _tid, if target holds only boxes and points.
     """
-    extent = extent_of(target, box)
-    if not extent.rows:
-        return probe.df.join(target if full is None else full, F.lit(False)).withColumn("_d", F.lit(0.0)).withColumn("_rank", F.lit(1))
     k = min(int(k), extent.rows)
+    if not k:
+        return probe.df.join(target if full is None else full, F.lit(False)).withColumn("_d", F.lit(0.0))
     level = extent.floor_level(max(0.5, k / 9))
-    placed = probe.df.withColumns({"_cx": cell(probe.x, F.lit(level)), "_cy": cell(probe.y, F.lit(level))})
-    cells = placed.select("_cx", "_cy").distinct()
+    places = probe.df.select("_qx", "_qy").distinct().withColumns({"_cx": cell(probe.x, F.lit(level)), "_cy": cell(probe.y, F.lit(level))})
+    cells = places.select("_cx", "_cy").distinct()
     # one row per occupied cell, read by the level statistics and by the join
-    radius = _search_radius(cells, target.select(points[0].alias("_px"), points[1].alias("_py")), extent, k, level).persist()
+    radius = staged(_search_radius(cells, target.select(F.col("_px"), F.col("_py")), extent, k, level), "radius")
     s = F.lit(2.0**level)
-    reach = radius.select(
-        F.col("_cx").alias("_kx"), F.col("_cy").alias("_ky"), "_r", (F.col("_cx") * s - F.col("_r")).alias("_x0"), (F.col("_cy") * s - F.col("_r")).alias("_y0"),
-        ((F.col("_cx") + 1) * s + F.col("_r")).alias("_x1"), ((F.col("_cy") + 1) * s + F.col("_r")).alias("_y1"))
+    left, low, right, top = F.col("_cx") * s, F.col("_cy") * s, (F.col("_cx") + 1) * s, (F.col("_cy") + 1) * s
+    r = F.col("_r")
+    reach = radius.select(F.col("_cx").alias("_kx"), F.col("_cy").alias("_ky"), (left - r).alias("_x0"), (low - r).alias("_y0"), (right + r).alias("_x1"), (top + r).alias("_y1"), left.alias("_l"), low.alias("_b"), right.alias("_rt"), top.alias("_t"))
     reach_box = tuple(F.col(c) for c in ("_x0", "_y0", "_x1", "_y1"))
     found = box_join(reach, reach_box, target, box, extent, left_levels=list(extent_of(reach, reach_box).levels))
-    met = placed.join(found, (F.col("_cx") == F.col("_kx")) & (F.col("_cy") == F.col("_ky")) & (bound <= F.col("_r")))
+    most = F.greatest(*[upper(F.col(x), F.col(y)) for x in ("_l", "_rt") for y in ("_b", "_t")])
+    gap = lambda lo, hi, a, b: F.greatest(lo - F.col(b), F.col(a) - hi, F.lit(0.0))
+    gx, gy = gap(box[0], box[2], "_l", "_rt"), gap(box[1], box[3], "_b", "_t")
+    whole = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    kth = F.nth_value("_most", k).over(whole("_kx", "_ky").orderBy("_most"))
+    slack = 1 + 1e-9
+    held = found.withColumn("_most", most).withColumn("_kth", F.coalesce(kth, F.lit(geo.INF)) * slack).filter(F.sqrt(gx * gx + gy * gy) <= F.col("_kth"))
+    held = held.drop("_x0", "_y0", "_x1", "_y1", "_l", "_b", "_rt", "_t", "_most")
+    met = places.join(held, (F.col("_cx") == F.col("_kx")) & (F.col("_cy") == F.col("_ky")) & (bound <= F.col("_kth")))
+    place = ["_cx", "_cy", "_qx", "_qy"]
     if full is not None:
         # the k-th nearest known point of a target limits the targets whose geometry is worth fetching
-        near = met.withColumns({"_lb": bound, "_ub": dist.planar(probe.x, probe.y, *points)})
-        whole = Window.partitionBy("_qid").orderBy("_ub").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        close = near.withColumn("_kth", F.nth_value("_ub", k).over(whole)).filter(F.col("_lb") <= F.coalesce("_kth", F.lit(geo.INF)) * (1 + 1e-9))
-        met = close.select(*probe.df.columns, "_tid").join(full, "_tid")
-    met = met.withColumn("_d", measure)
-    rank = F.row_number().over(Window.partitionBy("_qid").orderBy("_d", *tie))
-    return met.withColumn("_rank", rank).filter(F.col("_rank") <= k)
+        near = met.withColumns({"_lb": bound, "_ub": upper(probe.x, probe.y)})
+        close = near.withColumn("_kth", F.nth_value("_ub", k).over(whole(*place).orderBy("_ub"))).filter(F.col("_lb") <= F.coalesce("_kth", F.lit(geo.INF)) * slack)
+        met = close.select(*place, "_tid").join(full, "_tid")
+    rank = F.row_number().over(Window.partitionBy(*place).orderBy("_d", *tie))
+    best = met.withColumn("_d", measure).withColumn("_rank", rank).filter(F.col("_rank") <= k).drop("_cx", "_cy", "_kx", "_ky", "_kth", "_rank")
+    return probe.df.join(best, ["_qx", "_qy"])
 
 
 def knn(probe: Probe, target: DataFrame, k: int, tie: list[Column]) -> DataFrame:
     """Each probe with its min(k, n) nearest points."""
     tx, ty = F.col("_tx"), F.col("_ty")
-    d = dist.planar(probe.x, probe.y, tx, ty)
-    return _nearest(probe, target, (tx, ty, tx, ty), (tx, ty), d, d, k, tie)
+    to = lambda x, y: dist.planar(x, y, tx, ty)
+    box, d = (tx, ty, tx, ty), to(probe.x, probe.y)
+    return _nearest(probe, target.withColumns({"_px": tx, "_py": ty}), box, extent_of(target, box), to, d, d, k, tie)
 
 
 def polygon_knn(probe: Probe, target: DataFrame, k: int, tie: list[Column]) -> DataFrame:
     """Each probe with its k nearest polygons by exact distance."""
-    # numbered once, so that the light and the full rows carry the same numbers
-    full = target.drop("_tg").withColumn("_tid", F.monotonically_increasing_id()).persist()
-    corner = F.col("_tedges")[0]
-    light = full.select("_tid", "_tbox", corner["ax"].alias("_px0"), corner["ay"].alias("_py0"))
+    box = polygon_box()
+    extent = polygon_extent(target, box)
     bound = geo.box_distance(F.col("_tbox"), probe.x, probe.y)
-    return _nearest(probe, light, polygon_box(), (F.col("_px0"), F.col("_py0")), polygon_distance(probe.x, probe.y), bound, k, tie, full)
+    corner = F.col("_tedges")[0]
+    if not extent.others:
+        light = target.withColumns({"_px": F.col("_tbox.x0"), "_py": F.col("_tbox.y0")}).drop("_tg", "_tedges", "_tflat")
+        return _nearest(probe, light, box, extent, lambda x, y: geo.box_distance(F.col("_tbox"), x, y), bound, bound, k, tie)
+    # numbered once, so that the light and the full rows carry the same numbers
+    full = staged(target.drop("_tg").withColumn("_tid", F.monotonically_increasing_id()), "polygons")
+    light = full.select("_tid", "_tbox", corner["ax"].alias("_px"), corner["ay"].alias("_py"))
+    to = lambda x, y: dist.planar(x, y, F.col("_px"), F.col("_py"))
+    return _nearest(probe, light, box, extent, to, bound, polygon_distance(probe.x, probe.y, extent), k, tie, full)
 
 
 def intersecting_pairs(target: DataFrame, order: Column) -> DataFrame:
     """Unordered pairs of polygons that meet, borders included: l__o, r__o, areas, overlap and IoU.
 
-    order numbers the rows; the smaller is left. Boxes meet without their geometry. Pairs of
-    rectangles are settled by Columns; only other pairs fetch edges, for the Python kernel.
+    order numbers the rows; the smaller is left. Boxes meet without their geometry. Rectangles
+    meet rectangles and are settled by Columns; the other shapes, if there are any, meet all, and only
+    these pairs fetch edges, for the Python kernel.
     """
-    shape = target.withColumns({"_o": order, "_area": geo.area(F.col("_tg"))})
+    extent = polygon_extent(target, polygon_box())
+    b = F.col("_tbox")
+    area = F.when(F.col("_tflat"), (b["x1"] - b["x0"]) * (b["y1"] - b["y0"])).otherwise(geo.area(F.col("_tg")))
+    shape = target.withColumns({"_o": order, "_area": area})
     light = shape.select("_o", "_area", "_tflat", "_tbox")
-    extent = extent_of(target, polygon_box())
     side = lambda p, df: df.select(*[F.col(c).alias(f"{p}_{c}") for c in df.columns])
     box = lambda p: tuple(F.col(f"{p}__tbox.{k}") for k in ("x0", "y0", "x1", "y1"))
-    pairs = box_join(side("l", light), box("l"), side("r", light), box("r"), extent, left_levels=list(extent.levels), on=F.col("l__o") < F.col("r__o"))
-    flat = F.col("l__tflat") & F.col("r__tflat")
+    met = lambda a, b, on: box_join(side("l", a), box("l"), side("r", b), box("r"), extent, left_levels=list(extent.levels), on=on)
+    ahead = F.col("l__o") < F.col("r__o")
     width = lambda a, b: F.greatest(F.least(F.col(f"l__tbox.{b}"), F.col(f"r__tbox.{b}")) - F.greatest(F.col(f"l__tbox.{a}"), F.col(f"r__tbox.{a}")), F.lit(0.0))
     keep = ["l__o", "r__o", "l__area", "r__area"]
-    plain = pairs.filter(flat).select(*keep, (width("x0", "x1") * width("y0", "y1")).alias("overlap_area"))
-    edges = shape.select("_o", "_tedges")
-    other = pairs.filter(~flat).select(*keep).join(side("l", edges), "l__o").join(side("r", edges), "r__o")
-    related = other.withColumn("_rel", kernels.relate(F.col("l__tedges"), F.col("r__tedges"))).filter("_rel.meets")
-    both = plain.unionByName(related.select(*keep, F.col("_rel.overlap").alias("overlap_area")))
+    rect, other = (light, None) if not extent.others else (light.filter("_tflat"), light.filter("not _tflat"))
+    both = met(rect, rect, ahead).select(*keep, (width("x0", "x1") * width("y0", "y1")).alias("overlap_area"))
+    if other is not None:
+        pairs = met(other, light, ahead | (F.col("r__tflat") & (F.col("l__o") != F.col("r__o"))))
+        swap = lambda c: [F.when(ahead == (p == "l"), F.col(f"l_{c}")).otherwise(F.col(f"r_{c}")).alias(f"{p}_{c}") for p in "lr"]
+        pairs = pairs.select(*swap("_o"), *swap("_area"))
+        edges = shape.select("_o", "_tedges")
+        known = pairs.join(side("l", edges), "l__o").join(side("r", edges), "r__o")
+        related = known.withColumn("_rel", kernels.relate(F.col("l__tedges"), F.col("r__tedges"))).filter("_rel.meets")
+        both = both.unionByName(related.select(*keep, F.col("_rel.overlap").alias("overlap_area")))
     union = F.col("l__area") + F.col("r__area") - F.col("overlap_area")
     return both.withColumn("iou", F.when(union > 0, F.col("overlap_area") / union).otherwise(0.0))

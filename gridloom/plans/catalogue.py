@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,9 +9,11 @@ from gridloom.functions import distance as dist
 from gridloom.functions import geometry as geo
 from gridloom.functions import kernels, wkb
 from gridloom.operators import aggregates as agg
+from gridloom.operators.staging import fresh_path
 from gridloom.plans import fixtures as fx
 from gridloom.plans.fixtures import BUILDINGS, CUSTOMERS, TRIPS, ZONES, boxes, edges_sql, load, lonlat, shapes, sql
 from gridloom.plans.frame import SpatialFrame
+from gridloom.sources import arrays
 from gridloom.streaming import joins as stream
 
 QUERIES: dict = {}
@@ -91,6 +89,12 @@ def range_polygons(spark, d):
     return zones(spark, d).lazy().range_query(30, 35, 55, 60).select("pid", "pname").to_df()
 
 
+@register(f"select pid from ({fx.CUT_SQL}) where x0 <= 55.5 and x1 >= 30.25 and y0 <= 60.5 and y1 >= 35.25 and greatest(x0, 30.25) + greatest(y0, 35.25) <= c")
+def range_mixed_shapes(spark, d):
+    """Triangles and rectangles that meet a box."""
+    return fx.cut_zones(spark, d).lazy().range_query(30.25, 35.25, 55.5, 60.5).select("pid").to_df()
+
+
 @register(f"select id, seg from ({C}) where x between 5 and 45 and y between 5 and 45 and x between 20 and 80 and y between 0 and 100")
 def range_filter_frame(spark, d):
     return customers(spark, d).range_filter(5, 5, 45, 45).lazy().range_query(20, 0, 80, 100).select("id", "seg").to_df()
@@ -145,17 +149,29 @@ def knn_polygons(spark, d):
     return shapes(spark, d).lazy().knn(50, 50, 6, tie="pid").select("pid").to_df()
 
 
-@register(f"select tripkey, px between 25 and 50 and py between 25 and 50 inside from ({T}) where tripkey % 10 = 3")
+@register(f"select tripkey, px between 25 and 50 and py between 25 and 50 inside from ({T})")
 def range_mask(spark, d):
-    """A boolean mask instead of a filter."""
-    return range_mask_all(spark, d).filter("tripkey % 10 = 3")
+    """A boolean mask of every trip, instead of a filter."""
+    return SpatialFrame(trips(spark, d), "px", "py").range_mask(25, 25, 50, 50).select("tripkey", "inside")
 
 
-@register(f"select tripkey, px between 25 and 50 and py between 25 and 50 inside from ({T})")
-def range_mask_all(spark, d):
-    """The mask of every trip."""
-    inside = F.col("px").between(25, 50) & F.col("py").between(25, 50)
-    return trips(spark, d).select("tripkey", inside.alias("inside"))
+@register(f"select pid, x0 <= 41 and x1 > 41 and y0 <= 52 and y1 > 52 inside from ({Z})")
+def contains_mask(spark, d):
+    """Whether each zone holds one point."""
+    return zones(spark, d).contains_mask(41, 52).select("pid", "inside")
+
+
+@register(f"select id from ({C}) where x between 20 and 60 and y between 0 and 70 and y between 30 and 90 and x between 10 and 45")
+def intersect_boxes(spark, d):
+    return customers(spark, d).intersect_ranges([(20, 0, 60, 70), (10, 30, 45, 90)]).df.select("id")
+
+
+@register(f"select id from ({C}) where x between 20 and 60 and y between 0 and 70 and val > 1000 and sqrt((x - 40) * (x - 40) + (y - 40) * (y - 40)) <= 25")
+def intersect_hit_lists(spark, d):
+    """Keys that three results share."""
+    c = customers(spark, d)
+    hits = [c.lazy().range_query(20, 0, 60, 70).to_df(), c.lazy().filter("val > 1000").to_df(), c.radius_query(40, 40, 25)]
+    return SpatialFrame.intersect_hits(hits, "id")
 
 
 @register(f"select tripkey from ({T}) where px between 40 and 45 and py between 40 and 55")
@@ -186,19 +202,10 @@ def join_within_distance(spark, d):
     return customers(spark, d).lazy().within_distance_join(probes(spark, d), "qx", "qy", 4.5).select("qid", "id").to_df()
 
 
-@register(f"with g as ({fx.LONLAT_SQL}) select a.id a, b.id b from g a, g b where a.id % 5 = 0 and a.id <> b.id and {HAVERSINE.format(a='a.lat', b='b.lat', c='a.lon', d='b.lon')} <= 900000")
-def join_within_distance_geo(spark, d):
-    return geo_pairs(lonlat(spark, d), "id % 5 = 0")
-
-
 @register(f"with g as ({fx.LONLAT_SQL}) select a.id a, b.id b from g a, g b where a.id <> b.id and {HAVERSINE.format(a='a.lat', b='b.lat', c='a.lon', d='b.lon')} <= 900000")
-def join_within_distance_geo_all(spark, d):
-    """Every point is a probe."""
-    return geo_pairs(lonlat(spark, d), "true")
-
-
-def geo_pairs(g: DataFrame, probes: str) -> DataFrame:
-    probe = g.filter(probes).selectExpr("id as a", "lon as qlon", "lat as qlat")
+def join_within_distance_geo(spark, d):
+    g = lonlat(spark, d)
+    probe = g.selectExpr("id as a", "lon as qlon", "lat as qlat")
     target = SpatialFrame(g.withColumnRenamed("id", "b"), "lon", "lat", coordinate_system="geographic")
     return target.lazy().within_distance_join(probe, "qlon", "qlat", 900_000).filter("a <> b").select("a", "b").to_df()
 
@@ -249,6 +256,19 @@ def intersects_key_col(spark, d):
     return rounded(zones(spark, d).intersects_pairs("pid"), *MEASURES)
 
 
+G = "greatest({0}, 0) * greatest({0}, 0) / 2"
+CUT_OVERLAP = f"{G.format('(c - x0 - y0)')} - {G.format('(c - x1 - y0)')} - {G.format('(c - x0 - y1)')} + {G.format('(c - x1 - y1)')}"
+CUT_AREA = "(case when {0}.pid % 2 = 1 then ({0}.x1 - {0}.x0) * ({0}.x1 - {0}.x0) / 2 else ({0}.x1 - {0}.x0) * ({0}.y1 - {0}.y0) end)"
+
+
+@register(rounded_sql(f"""select pid_1, pid_2, area_left, area_right, {CUT_OVERLAP} overlap_area, ({CUT_OVERLAP}) / (area_left + area_right - ({CUT_OVERLAP})) iou from (
+select a.pid pid_1, b.pid pid_2, {CUT_AREA.format('a')} area_left, {CUT_AREA.format('b')} area_right, greatest(a.x0, b.x0) x0, greatest(a.y0, b.y0) y0, least(a.x1, b.x1) x1, least(a.y1, b.y1) y1, least(a.c, b.c) c
+from ({fx.CUT_SQL}) a join ({fx.CUT_SQL}) b on a.pid < b.pid) where x0 <= x1 and y0 <= y1 and x0 + y0 <= c""", ["pid_1", "pid_2"], MEASURES))
+def intersects_mixed_shapes(spark, d):
+    """Pairs of triangles and rectangles that meet, with their overlap."""
+    return rounded(fx.cut_zones(spark, d).intersects_pairs("pid"), *MEASURES)
+
+
 @register(f"select count(*) pairs, round(sum(overlap_area), 4) total from ({overlaps_sql(Z, 'pid')})")
 def join_intersects_pairs(spark, d):
     out = zones(spark, d).lazy().intersects_pairs().to_df()
@@ -337,25 +357,15 @@ def hull_sql(points: str, keys: str) -> str:
     select {keys}, cast(sum(ax * b_y - bx * ay) as double) / 20000 area from e group by {keys})"""
 
 
-@register(rounded_sql(f"select custkey, area from {hull_sql(f'select custkey, dx x, dy y from ({T}) where custkey % 7 = 0', 'custkey')}", ["custkey"], ["area"], 6))
-def hull_area_by_group(spark, d):
-    return hull_area_by_group_all(spark, d).filter("custkey % 7 = 0")
-
-
 @register(rounded_sql(f"select custkey, area from {hull_sql(f'select custkey, dx x, dy y from ({T})', 'custkey')}", ["custkey"], ["area"], 6))
-def hull_area_by_group_all(spark, d):
+def hull_area_by_group(spark, d):
     """The hull of every customer with two distinct ends."""
     groups = trips(spark, d).groupBy("custkey").agg(F.collect_list(F.struct(F.col("dx").alias("x"), F.col("dy").alias("y"))).alias("points"), F.count_distinct("dx", "dy").alias("n"))
     return groups.filter("n > 1").select("custkey", F.round(kernels.convex_hull_area(F.col("points")), 6).alias("area"))
 
 
-@register(f"select tripkey, sqrt((px - dx) * (px - dx) + (py - dy) * (py - dy)) length from ({T}) where tripkey % 10 = 1")
-def point_distance(spark, d):
-    return point_distance_all(spark, d).filter("tripkey % 10 = 1")
-
-
 @register(f"select tripkey, sqrt((px - dx) * (px - dx) + (py - dy) * (py - dy)) length from ({T})")
-def point_distance_all(spark, d):
+def point_distance(spark, d):
     """The length of every trip."""
     return trips(spark, d).select("tripkey", dist.point_distance(F.col("px"), F.col("py"), F.col("dx"), F.col("dy")).alias("length"))
 
@@ -365,13 +375,8 @@ def distance_to_point(spark, d):
     return lonlat(spark, d).select("id", F.round(dist.distance_to_point(F.col("lon"), F.col("lat"), 20, 10, "geographic") / 1000, 3).alias("km"))
 
 
-@register(f"select tripkey, sqrt((px - dx) * (px - dx) + (py - dy) * (py - dy)) length from ({T}) where tripkey % 10 = 7")
-def wkb_point_distance(spark, d):
-    return wkb_point_distance_all(spark, d).filter("tripkey % 10 = 7")
-
-
 @register(f"select tripkey, sqrt((px - dx) * (px - dx) + (py - dy) * (py - dy)) length from ({T})")
-def wkb_point_distance_all(spark, d):
+def wkb_point_distance(spark, d):
     """The length of every trip, from WKB."""
     t = trips(spark, d).select("tripkey", wkb.make_points(F.col("px"), F.col("py")).alias("a"), wkb.make_points(F.col("dx"), F.col("dy")).alias("b"))
     return t.select("tripkey", wkb.point_distance(F.col("a"), F.col("b")).alias("length"))
@@ -383,21 +388,11 @@ def wkb_points_frame(spark, d):
     return SpatialFrame.from_wkb_points(df, "wkb").lazy().range_query(10, 10, 30, 30).select("id", "_x", "_y").to_df()
 
 
-@register(f"select id, pid from ({hits_sql(PTS)}) where id % 2 = 1")
-def wkb_polygons_join(spark, d):
-    return wkb_pairs(spark, d, "id % 2 = 1")
-
-
 @register(f"select id, pid from ({hits_sql(PTS)})")
-def wkb_polygons_join_all(spark, d):
-    """Every customer is a probe."""
-    return wkb_pairs(spark, d, "true")
-
-
-def wkb_pairs(spark, d, probes: str) -> DataFrame:
+def wkb_polygons_join(spark, d):
     df = shapes(spark, d).df.select("pid", wkb.make_polygons(F.col("geom")).alias("wkb"))
     frame = SpatialFrame.from_lazy(df, "wkb", "polygon")
-    return frame.lazy().within_join(customers(spark, d).df.filter(probes), "x", "y").select("id", "pid").to_df()
+    return frame.lazy().within_join(customers(spark, d).df, "x", "y").select("id", "pid").to_df()
 
 
 # -- sources, sinks and plans --------------------------------------------------------------------
@@ -424,28 +419,12 @@ def collect_all_branches(spark, d):
     return low.agg(F.lit("low").alias("part"), F.count("*").alias("n")).unionByName(high.agg(F.lit("high").alias("part"), F.count("*").alias("n")))
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder all executors share; a folder of our own only where none is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="gridloom-")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-@register(f"select id, pid from ({hits_sql(PTS)}) where id % 4 = 0")
+@register(f"select id, pid from ({hits_sql(PTS)})")
 def scan_and_sink(spark, d):
     """WKB polygons written to Parquet, scanned as a deferred frame, joined and written again."""
-    return sunk_pairs(spark, d, "id % 4 = 0")
-
-
-@register(f"select id, pid from ({hits_sql(PTS)})")
-def scan_and_sink_all(spark, d):
-    """Every customer is a probe."""
-    return sunk_pairs(spark, d, "true")
-
-
-def sunk_pairs(spark, d, probes: str) -> DataFrame:
-    zones_at, out = shared_path(spark, "zones"), shared_path(spark, "pairs")
+    zones_at, out = fresh_path(spark, "zones"), fresh_path(spark, "pairs")
     shapes(spark, d).df.select("pid", wkb.make_polygons(F.col("geom")).alias("wkb")).write.parquet(zones_at)
-    plan = SpatialFrame.scan_parquet(spark, zones_at, "wkb", "polygon").lazy().within_join(customers(spark, d).df.filter(probes), "x", "y").select("id", "pid")
+    plan = SpatialFrame.scan_parquet(spark, zones_at, "wkb", "polygon").lazy().within_join(customers(spark, d).df, "x", "y").select("id", "pid")
     plan.sink_parquet(out)
     return spark.read.parquet(out)
 
@@ -458,11 +437,38 @@ def stream_zone_counts(spark, d):
     """Events as a stream joined with static zones; the stream is read to its end, then counted."""
     source = spark.readStream.schema(spark.read.parquet(f"{d}/events.parquet").schema).option("pathGlobFilter", "events.parquet").parquet(d)
     met = stream.within_join(source.selectExpr(*EVENT_POINTS), "ex", "ey", zones(spark, d)).select("pid", "event_type")
-    out = shared_path(spark, "stream")
+    out = fresh_path(spark, "stream")
     met.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(met.schema).parquet(f"{out}/rows").groupBy("pid", "event_type").agg(F.count("*").alias("n"))
 
 
+@register(f"select date_trunc('day', ts) as day, pid, count(*) n from ({Z}), (select ts, ex x, ey y from (select {', '.join(EVENT_POINTS)} from events)) where {INSIDE} group by all")
+def stream_window_counts(spark, d):
+    """Events of a stream per zone and day of event time; the last state of every window."""
+    source = spark.readStream.schema(spark.read.parquet(f"{d}/events.parquet").schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    events = source.selectExpr(*EVENT_POINTS).withColumn("ts", F.col("ts").cast("timestamp"))
+    counts = stream.windowed_zone_counts(events, "ts", "ex", "ey", zones(spark, d), "pid", "1 day", "2 days")
+    out = fresh_path(spark, "windows")
+    last = lambda batch, number: batch.write.mode("overwrite").parquet(f"{out}/rows")
+    counts.writeStream.outputMode("complete").foreachBatch(last).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{out}/rows").select(F.col("window.start").cast("timestamp_ntz").alias("day"), "pid", "n")
+
+
+@register(f"select id, x from ({C}) where x between 0 and 60 and y between 0 and 60")
+def collect_in_batches(spark, d):
+    """A plan's rows fetched in lists of 40 and put together again."""
+    plan = customers(spark, d).lazy().range_query(0, 0, 60, 60).select("id", "x")
+    return spark.createDataFrame([r for rows in plan.collect_batched(40) for r in rows], "id long, x double")
+
+
+@register("select n_nationkey id, cast((n_nationkey * 7) % 25 as double) x, cast((n_nationkey * 11) % 25 as double) y from nation where (n_nationkey * 7) % 25 between 5 and 20 and (n_nationkey * 11) % 25 between 0 and 15")
+def coordinate_lists(spark, d):
+    """A frame over two lists that the caller holds; their positions are the ids."""
+    keys = [r[0] for r in spark.read.parquet(f"{d}/nation.parquet").select("n_nationkey").orderBy("n_nationkey").collect()]
+    frame = arrays.from_coords(spark, [k * 7 % 25 for k in keys], [k * 11 % 25 for k in keys])
+    return frame.lazy().range_query(5, 0, 20, 15).select("id", "x", "y").to_df()
+
+
 # -- end-to-end queries ----------------------------------------------------------------------------
 
 

@@ -90,3 +90,17 @@ def edges_sql(kinds=("triangle", "rectangle", "hole", "second"), source: str | N
             for (ax, ay), (bx, by) in zip(points, [*points[1:], points[0]]):
                 out.append(f"select pid, '{name}' kind, cast({ax} as double) ax, cast({ay} as double) ay, cast({bx} as double) bx, cast({by} as double) b_y from z where {when}")
     return f"(with z as ({source or sql(ZONES)}) {' union all '.join(out)})"
+
+
+#: Zones whose odd keys are right triangles with equal legs, as rows (pid, x0, y0, x1, y1, c): the part of the box with x + y <= c.
+CUT_SQL = f"""select pid, x0, y0, case when pid % 2 = 1 then x0 + x1 - x0 else x1 end x1, case when pid % 2 = 1 then y0 + x1 - x0 else y1 end y1,
+case when pid % 2 = 1 then x1 + y0 else x1 + y1 end c from ({sql(ZONES)})"""
+
+
+def cut_zones(spark: SparkSession, sf_dir: str) -> SpatialFrame:
+    """The shapes of CUT_SQL: triangles and rectangles."""
+    point = lambda x, y: f"struct({x} as x, {y} as y)"
+    triangle = f"array({point('x0', 'y0')}, {point('x1', 'y0')}, {point('x0', 'y0 + x1 - x0')})"
+    ring = f"array({point('x0', 'y0')}, {point('x1', 'y0')}, {point('x1', 'y1')}, {point('x0', 'y1')})"
+    df = load(spark, sf_dir, ZONES).withColumn("geom", F.expr(f"array(array(case when pid % 2 = 1 then {triangle} else {ring} end))").cast(GEOMETRY))
+    return SpatialFrame.from_polygons(df.select("pid", "geom"), "geom")

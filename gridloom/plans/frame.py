@@ -18,6 +18,7 @@ from gridloom.functions import kernels, wkb
 from gridloom.operators import joins
 from gridloom.operators.aggregates import AggSpec
 from gridloom.operators.boxjoin import extent_of, valid
+from gridloom.operators.staging import staged
 from gridloom.plans.nodes import Node
 
 MODES = ("auto", "eager", "none")
@@ -205,6 +206,31 @@ class SpatialFrame:
     def range_filter(self, min_x: float, min_y: float, max_x: float, max_y: float) -> "SpatialFrame":
         return self._like(_range(self, self._df, min_x, min_y, max_x, max_y))
 
+    def range_mask(self, min_x: float, min_y: float, max_x: float, max_y: float, name: str = "inside") -> DataFrame:
+        """Every row with a boolean: whether range_filter would keep it; false where the geometry is missing."""
+        return self._df.withColumn(name, F.coalesce(_in_range(self, min_x, min_y, max_x, max_y), F.lit(False))).drop(*self._hidden)
+
+    def contains_mask(self, x: float, y: float, name: str = "inside") -> DataFrame:
+        """Every row with a boolean: whether the step contains(x, y) would keep it."""
+        return self._df.withColumn(name, F.coalesce(_holds(self, float(x), float(y)), F.lit(False))).drop(*self._hidden)
+
+    def intersect_ranges(self, boxes: list[tuple[float, float, float, float]]) -> "SpatialFrame":
+        """Rows that meet every box; without a box, none."""
+        df = self._df if boxes else self._df.limit(0)
+        for box in boxes:
+            df = _range(self, df, *box)
+        return self._like(df)
+
+    @staticmethod
+    def intersect_hits(hits: list[DataFrame], key: str) -> DataFrame:
+        """Distinct keys that all the given results hold, in order."""
+        if not hits:
+            raise ValueError("intersect_hits needs at least one result")
+        met = hits[0].select(key).distinct()
+        for other in hits[1:]:
+            met = met.join(other.select(key), key, "left_semi")
+        return met.orderBy(key)
+
     def polygon_areas(self) -> DataFrame:
         """The rows with a column area."""
         self._need("polygon")
@@ -232,12 +258,16 @@ class SpatialFrame:
             raise ValueError(f"this operation needs a {kind} frame")
 
 
-def _range(frame: SpatialFrame, df: DataFrame, x0, y0, x1, y1) -> DataFrame:
+def _in_range(frame: SpatialFrame, x0, y0, x1, y1) -> Column:
     if frame.kind == "point":
         x, y = F.col(f"`{frame.x_col}`"), F.col(f"`{frame.y_col}`")
-        return df.filter(x.between(float(x0), float(x1)) & y.between(float(y0), float(y1)))
+        return x.between(float(x0), float(x1)) & y.between(float(y0), float(y1))
     g = F.col(f"`{GEOM}`")
-    return df.filter(geo.meets_box(geo.shell_edges(g), geo.bounds(g), float(x0), float(y0), float(x1), float(y1)))
+    return geo.meets_box(geo.shell_edges(g), geo.bounds(g), float(x0), float(y0), float(x1), float(y1))
+
+
+def _range(frame: SpatialFrame, df: DataFrame, x0, y0, x1, y1) -> DataFrame:
+    return df.filter(_in_range(frame, x0, y0, x1, y1))
 
 
 def _pairs(frame: SpatialFrame, df: DataFrame, key_col: str | None) -> DataFrame:
@@ -248,7 +278,7 @@ def _pairs(frame: SpatialFrame, df: DataFrame, key_col: str | None) -> DataFrame
     side = joins.polygon_side(df, keys, GEOM)
     order = F.col(f"`t_{key_col}`") if key_col else F.monotonically_increasing_id()
     if not key_col:  # numbered once, so that both sides of the join see the same numbers
-        side = side.withColumn("_n", order).persist()
+        side = staged(side.withColumn("_n", order), "polygons")
         order = F.col("_n")
     met = joins.intersecting_pairs(side, order)
     first, second = (f"{key_col}_1", f"{key_col}_2") if key_col else ("left", "right")
@@ -334,13 +364,9 @@ class SpatialPlan:
         return self.to_df()
 
     def collect_batched(self, batch_size: int | None = None) -> Iterator[list]:
-        """Rows in lists of batch_size, fetched partition by partition; without a join one list."""
-        df = self.to_df()
-        if not any(n.is_join for n in self.nodes):
-            yield df.collect()
-            return
+        """Rows in lists of batch_size; one partition and the one after it are fetched at a time."""
         held: list = []
-        for row in df.toLocalIterator(prefetchPartitions=True):
+        for row in self.to_df().toLocalIterator(prefetchPartitions=True):
             held.append(row)
             if len(held) == (batch_size or 262_144):
                 yield held
@@ -412,15 +438,19 @@ def _compile(frame: SpatialFrame, df: DataFrame, nodes, raw: bool = False) -> Da
     return df if joined or raw else df.drop(*frame._hidden)
 
 
-def _contains(frame: SpatialFrame, df: DataFrame, a: dict) -> DataFrame:
-    x, y = F.lit(a["x"]), F.lit(a["y"])
+def _holds(frame: SpatialFrame, px: float, py: float) -> Column:
+    x, y = F.lit(px), F.lit(py)
     if frame.kind == "point":
         px, py = F.col(f"`{frame.x_col}`").cast("double"), F.col(f"`{frame.y_col}`").cast("double")
-        return df.filter(valid(px, py) & (F.abs(px - x) <= POINT_EPS) & (F.abs(py - y) <= POINT_EPS))
+        return valid(px, py) & (F.abs(px - x) <= POINT_EPS) & (F.abs(py - y) <= POINT_EPS)
     g = F.col(f"`{GEOM}`")
     b = geo.bounds(g)
     near = (b["x0"] <= x) & (b["x1"] >= x) & (b["y0"] <= y) & (b["y1"] >= y)
-    return df.filter(near & geo.contains(geo.edges(g), x, y))
+    return near & geo.contains(geo.edges(g), x, y)
+
+
+def _contains(frame: SpatialFrame, df: DataFrame, a: dict) -> DataFrame:
+    return df.filter(_holds(frame, a["x"], a["y"]))
 
 
 def _knn(frame: SpatialFrame, df: DataFrame, a: dict) -> DataFrame:
@@ -455,8 +485,7 @@ _FILTERS = {"contains": _contains, "knn": _knn, "within_distance_of_point": _nea
 
 def _join(frame: SpatialFrame, df: DataFrame, op: str, a: dict) -> DataFrame:
     names = [c for c in df.columns if c not in frame._hidden]
-    nearest = op in ("knn_join", "polygon_knn_join")
-    probe = joins.probe_side(a["query"], a["x"], a["y"], number=nearest)
+    probe = joins.probe_side(a["query"], a["x"], a["y"])
     extra = None
     if frame.kind == "point":
         target = joins.point_side(df, names, frame.x_col, frame.y_col)

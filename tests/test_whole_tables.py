@@ -24,22 +24,21 @@ def compare(spark, name, table, key, column):
 
 
 @pytest.mark.skipif(not os.path.isdir(DIR), reason="no test tables")
-@pytest.mark.parametrize("name", ["range_mask_all", "point_distance_all", "wkb_point_distance_all"])
+@pytest.mark.parametrize("name", ["range_mask", "point_distance", "wkb_point_distance"])
 def test_every_trip_has_a_row(spark, name):
     got, every = compare(spark, name, "orders", "o_orderkey", "tripkey")
     assert got == every
 
 
 @pytest.mark.skipif(not os.path.isdir(DIR), reason="no test tables")
-@pytest.mark.parametrize("name, narrow, column", [("join_within_distance_geo_all", "join_within_distance_geo", "a"), ("wkb_polygons_join_all", "wkb_polygons_join", "id"), ("scan_and_sink_all", "scan_and_sink", "id")])
-def test_every_probe_is_joined(spark, name, narrow, column):
+@pytest.mark.parametrize("name, column", [("join_within_distance_geo", "a"), ("wkb_polygons_join", "id"), ("scan_and_sink", "id")])
+def test_every_probe_may_be_joined(spark, name, column):
     table, key = ("embeddings", "vec_id") if column == "a" else ("customer", "c_custkey")
     got, every = compare(spark, name, table, key, column)
-    part = {r[column] for r in QUERIES[narrow](spark, DIR).collect()}
-    assert part < got <= every
+    assert got <= every and {k % 5 for k in got} == set(range(5))
 
 
 @pytest.mark.skipif(not os.path.isdir(DIR), reason="no test tables")
 def test_every_group_has_a_hull(spark):
-    got, _ = compare(spark, "hull_area_by_group_all", "customer", "c_custkey", "custkey")
+    got, _ = compare(spark, "hull_area_by_group", "customer", "c_custkey", "custkey")
     assert {k % 7 for k in got} == set(range(7))
