@@ -9,7 +9,9 @@ bounded size, and every block is solved with one matrix product. The bounds are
 nothing is lost; where they exclude nothing (directions without structure) every row goes to
 every query group and the join becomes a blocked scan.
 
-Only pivots (at most ``pivots`` vectors) and per-cell summaries reach the driver.
+Only pivots (64, or a quarter of the root of the rows up to 1,024, so that cells sharpen as the
+table grows) and per-cell summaries reach the driver. Where products may pass 2^52, they are
+made and ranked as whole Python numbers; a score must fit a long.
 
 Cases: rows with a null id, a null vector or a null or non-finite component take no part;
 empty vectors score 0; vectors shorter than the longest count as padded with zeros; ties go
@@ -19,6 +21,7 @@ rows count each; an empty table gives no rows. Other columns are ignored.
 
 from __future__ import annotations
 
+import heapq
 import math
 
 import numpy as np
@@ -110,7 +113,7 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return pick[scores[pick] > -np.inf][:k]
 
 
-def search(data: DataFrame, queries: DataFrame, k: int = 5, pivots: int = 64, query_block: int = 2048, data_block: int = 20000) -> DataFrame:
+def search(data: DataFrame, queries: DataFrame, k: int = 5, pivots: int | None = None, query_block: int = 2048, data_block: int = 20000) -> DataFrame:
     """Each query's k best rows: (query_id, rank, vec_id, score).
 
     data and queries are (id, vec array<double> of whole numbers), as quantise() gives.
@@ -126,6 +129,7 @@ def search(data: DataFrame, queries: DataFrame, k: int = 5, pivots: int = 64, qu
         return empty
     dim = max(1, dim, q_dim)
     exact = max(top, q_top) < _EXACT
+    pivots = pivots or min(1024, max(64, math.isqrt(total) // 4))
     seeds = data.orderBy(F.xxhash64("id"), "id").limit(pivots).collect()
     flat = np.zeros((len(seeds), dim + 1))
     for i, r in enumerate(seeds):
@@ -163,13 +167,18 @@ def search(data: DataFrame, queries: DataFrame, k: int = 5, pivots: int = 64, qu
         rows = []
         if len(q) and len(d):
             qm, dm = _matrix(list(q["vec"]), dim), _matrix(list(d["vec"]), dim)
-            if not exact:
-                qm, dm = qm.astype(np.int64), dm.astype(np.int64)
             qid, did = q["id"].to_numpy(), d["id"].to_numpy()
+            if not exact:
+                whole = lambda m: [np.array([int(v) for v in r], object) for r in m]
+                candidates = whole(dm)
+                for own, x in zip(qid, whole(qm)):
+                    best = heapq.nsmallest(k, ((-np.dot(y, x), p) for y, p in zip(candidates, did.tolist()) if p != own))
+                    rows += [(own, p, -score) for score, p in best]
+                return pd.DataFrame(rows, columns=["query_id", "vec_id", "score"])
             for at in range(0, len(qid), 128):
-                scores = (qm[at : at + 128] @ dm.T).astype(np.float64 if exact else object)
+                scores = qm[at : at + 128] @ dm.T
                 for i, own in enumerate(qid[at : at + 128]):
-                    row = scores[i].astype(np.float64)
+                    row = scores[i]
                     row[did == own] = -np.inf
                     for p in _best(row, did, k):
                         rows.append((own, did[p], int(scores[i][p])))

@@ -44,3 +44,11 @@ def test_edges(spark):
     assert result(spark, [], 50) == [] and result(spark, [(1, [1.0])], 50) == [] and result(spark, [(50, [1.0])], 50) == []
     same = [(i, [0.5, 0.5]) for i in range(400)]
     assert result(spark, same, 50, data_block=30) == brute(same, 50)
+
+
+def test_large_values_are_exact(spark):
+    rows = [(0, [2.0**27, 1.0]), (1, [2.0**26, 1.0]), (2, [2.0**26, 0.0]), (3, [2.0**26, 2.0]), (4, [-(2.0**26), 3.0]), (5, [2.0**30, 3.0])]
+    data = spark.createDataFrame(rows, "id long, vec array<double>")
+    got = sorted(tuple(r) for r in knn.search(data, data.filter("id = 0"), k=4).collect())
+    want = sorted(((i, int(v[0]) * 2**27 + int(v[1])) for i, v in rows[1:]), key=lambda x: (-x[1], x[0]))[:4]
+    assert got == [(0, n + 1, i, score) for n, (i, score) in enumerate(want)]
