@@ -82,13 +82,24 @@ def bounds(geometry: Column) -> Column:
     return F.struct(F.array_min(xs).alias("x0"), F.array_min(ys).alias("y0"), F.array_max(xs).alias("x1"), F.array_max(ys).alias("y1"))
 
 
-def is_rectangle(geometry: Column, b: Column) -> Column:
-    """One part, one ring, all vertices on the corners of its box, four or five of them, area that of the box."""
+def is_rectangle(geometry: Column) -> Column:
+    """One part, one ring of four corners (or five, closed) that goes around an upright box of some size."""
     ring = geometry[0][0]
     n = F.size(ring)
-    corner = F.forall(ring, lambda p: ((p["x"] == b["x0"]) | (p["x"] == b["x1"])) & ((p["y"] == b["y0"]) | (p["y"] == b["y1"])))
-    whole = F.abs(area(geometry) - (b["x1"] - b["x0"]) * (b["y1"] - b["y0"])) <= 1e-9 * (1 + F.abs(area(geometry)))
-    return (F.size(geometry) == 1) & (F.size(geometry[0]) == 1) & n.isin(4, 5) & corner & whole
+    p = [ring[i] for i in range(4)]
+    same = lambda a, b: (a["x"] == b["x"]) & (a["y"] == b["y"])
+    meets = lambda c, a, b: (c["x"] == a["x"]) & (c["y"] == b["y"])
+    around = (meets(p[1], p[2], p[0]) & meets(p[3], p[0], p[2])) | (meets(p[1], p[0], p[2]) & meets(p[3], p[2], p[0]))
+    closed = F.when(n == 5, same(F.try_element_at(ring, F.lit(5)), p[0])).otherwise(n == 4)
+    single = (F.size(geometry) == 1) & (F.size(geometry[0]) == 1) & n.isin(4, 5)
+    whole = F.when(single, closed & (p[0]["x"] != p[2]["x"]) & (p[0]["y"] != p[2]["y"]) & around)
+    return F.coalesce(whole, F.lit(False))
+
+
+def rectangle_bounds(geometry: Column) -> Column:
+    """bounds() of a rectangle."""
+    a, b = geometry[0][0][0], geometry[0][0][2]
+    return F.struct(F.least(a["x"], b["x"]).alias("x0"), F.least(a["y"], b["y"]).alias("y0"), F.greatest(a["x"], b["x"]).alias("x1"), F.greatest(a["y"], b["y"]).alias("y1"))
 
 
 def contains(all_edges: Column, x: Column, y: Column) -> Column:

@@ -17,7 +17,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-LEAST, MOST = -60, 1000
+LEAST = -60
+#: A broadcast box is cut into cells of a quarter of its own width.
+FINER = 2
+#: Bytes that a scan's task reads at least, as Spark deals files.
+SPLIT_BYTES = 4 << 20
 
 
 @dataclass
@@ -79,16 +83,34 @@ def cell(v: Column, level: Column) -> Column:
     return F.floor(v / F.pow(F.lit(2.0), level)).cast("long")
 
 
-def _keyed(df: DataFrame, box, floor: int, others: list[int], mine: str, theirs: str) -> DataFrame:
-    """One row per cell and level of the other side: _l (the pair of levels), _cx, _cy."""
+def _keyed(df: DataFrame, box, floor: int, others: list[int], mine: str, theirs: str, finer: int = 0) -> DataFrame:
+    """One row per cell and level of the other side: the pair of levels, _cx, _cy."""
     x0, y0, x1, y1 = box
-    own = F.greatest(F.lit(floor), raw_level(x0, y0, x1, y1))
-    levels = df.filter(valid(*box)).withColumns({mine: own}).withColumn(theirs, F.explode(F.array(*[F.lit(v) for v in others])))
+    own = F.greatest(F.lit(floor), raw_level(x0, y0, x1, y1) - finer)
+    levels = df.filter(valid(*box)).withColumns({mine: own})
+    levels = levels.withColumn(theirs, F.explode(F.array(*[F.lit(v) for v in others])) if len(others) > 1 else F.lit(others[0]))
     at = F.greatest(F.col(mine), F.col(theirs))
     span = lambda lo, hi: F.sequence(cell(lo, at), cell(hi, at))
     return levels.withColumn("_cx", F.explode(span(x0, x1))).withColumn("_cy", F.explode(span(y0, y1)))
 
 
+def _keyed_points(df: DataFrame, x: Column, y: Column, floor: int, others: list[int], mine: str, theirs: str) -> DataFrame:
+    """As _keyed, for boxes of no size: one row per level of the other side."""
+    levels = df.filter(valid(x, y)).withColumn(mine, F.lit(floor))
+    levels = levels.withColumn(theirs, F.explode(F.array(*[F.lit(v) for v in others])) if len(others) > 1 else F.lit(others[0]))
+    at = F.col(theirs)  # no level lies below the floor
+    return levels.withColumns({"_cx": cell(x, at), "_cy": cell(y, at)})
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A table so small that its files would make fewer tasks than there are cores, dealt over all of them; others as they are."""
+    if df.isStreaming:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * SPLIT_BYTES else df
+
+
 def box_join(left: DataFrame, left_box, right: DataFrame, right_box, right_extent: Extent, left_levels: list[int] | None = None, on: Column | None = None, broadcast_bytes: int = 0) -> DataFrame:
     """Inner join of rows whose boxes overlap (closed), on and any further condition on both.
 
@@ -97,11 +119,17 @@ def box_join(left: DataFrame, left_box, right: DataFrame, right_box, right_exten
     the most keys that a row gets, are at most that many; else Spark chooses by size.
     """
     floor = right_extent.floor_level()
-    r_levels = sorted({max(floor, v) for v in right_extent.levels}) or [floor]
     l_levels = sorted({max(floor, v) for v in left_levels}) if left_levels is not None else [floor]
-    a = _keyed(left, left_box, floor, r_levels, "_ll", "_lr")
-    b = _keyed(right, right_box, floor, l_levels, "_lr2", "_ll2").withColumnsRenamed({"_cx": "_cx2", "_cy": "_cy2"})
-    if right_extent.size and 4 * len(l_levels) * right_extent.size <= broadcast_bytes:
+    # a side that is small enough is broadcast, and its boxes are cut finer, so that a key meets fewer of them
+    small = 0 < right_extent.size * (2**FINER + 1) ** 2 * len(l_levels) <= broadcast_bytes
+    finer = FINER if small else 0
+    r_levels = sorted({max(floor, v - finer) for v in right_extent.levels}) or [floor]
+    if left_levels is None:
+        a = _keyed_points(spread(left) if small else left, left_box[0], left_box[1], floor, r_levels, "_ll", "_lr")
+    else:
+        a = _keyed(left, left_box, floor, r_levels, "_ll", "_lr")
+    b = _keyed(right, right_box, floor, l_levels, "_lr2", "_ll2", finer).withColumnsRenamed({"_cx": "_cx2", "_cy": "_cy2"})
+    if small:
         b = F.broadcast(b)
     (ax0, ay0, ax1, ay1), (bx0, by0, bx1, by1) = left_box, right_box
     same = (F.col("_ll") == F.col("_ll2")) & (F.col("_lr") == F.col("_lr2")) & (F.col("_cx") == F.col("_cx2")) & (F.col("_cy") == F.col("_cy2"))

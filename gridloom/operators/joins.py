@@ -20,8 +20,8 @@ from gridloom.functions import kernels
 from gridloom.operators.boxjoin import Extent, box_join, cell, extent_of, valid
 from gridloom.operators.staging import staged
 
-#: A target side of at most this many bytes may be broadcast; they are counted with its extent.
-BROADCAST_BYTES = 64 << 20
+#: A target side may be broadcast if its bytes, counted with its extent, times the most keys of a row are at most this many.
+BROADCAST_BYTES = 256 << 20
 
 
 @dataclass
@@ -53,15 +53,15 @@ def point_side(target: DataFrame, names: list[str], x: str, y: str) -> DataFrame
 def polygon_side(target: DataFrame, names: list[str], geometry: str) -> DataFrame:
     g = F.col("_tg")
     df = target.select(*[F.col(f"`{c}`").alias(f"t_{c}") for c in names], F.col(f"`{geometry}`").alias("_tg")).filter("_tg is not null and size(_tg) > 0")
-    # exploded, as merged projections would evaluate these again at each of their many uses
-    df = df.withColumn("_tbox", F.explode(F.array(geo.bounds(g))))
-    df = df.withColumn("_tflat", F.explode(F.array(geo.is_rectangle(g, F.col("_tbox")))))
+    df = df.withColumn("_tflat", geo.is_rectangle(g))
+    # exploded, so that the bounds are found once for all their uses
+    df = df.withColumn("_tbox", F.explode(F.array(F.when(F.col("_tflat"), geo.rectangle_bounds(g)).otherwise(geo.bounds(g)))))
     return df.withColumn("_tedges", geo.edges(g))
 
 
 def _width(df: DataFrame) -> Column:
     """Bytes of a row, about; geometry counts by its edges, and other nested columns make a row too wide to broadcast."""
-    total = F.lit(64) + 48 * F.size("_tedges")
+    total = F.lit(64) + F.when(F.col("_tflat"), 200).otherwise(48 * F.size(F.flatten(F.flatten("_tg"))))
     for f in df.schema.fields:
         if isinstance(f.dataType, (T.StringType, T.BinaryType)):
             total = total + F.coalesce(F.octet_length(F.col(f"`{f.name}`")), F.lit(0))

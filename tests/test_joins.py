@@ -88,10 +88,25 @@ def test_polygon_joins_match_brute_force(spark):
 
 
 def test_nearest_by_exact_distance_under_covering_boxes(spark):
-    ring = lambda r, w: [[(-r, -r), (r, -r), (r, r), (-r, r)], [(-w, -w), (w, -w), (w, w), (-w, w)]]
-    polys = [geo.as_parts(ring(10 + i, 9 + i)) for i in range(4)] + [geo.box(1, -0.5, 2, 0.5)]
-    out = polygon_frame(spark, polys).lazy().polygon_knn_join(points(spark, [(0.0, 0.0)], "q"), "qx", "qy", 1).to_df().first()
-    assert (out["pid"], out["distance_to_polygon"]) == (4, 1.0)
+    bent = lambda n: [(-n, -n), (8, -n), (8, 1), (1, 1), (1, 8), (-n, 8)]  # an L whose box holds the probe
+    polys = [geo.as_parts(bent(n)) for n in range(3)] + [geo.box(5.5, 6, 7, 7)]
+    out = polygon_frame(spark, polys).lazy().polygon_knn_join(points(spark, [(5.0, 5.0)], "q"), "qx", "qy", 1).to_df().first()
+    assert (out["pid"], out["distance_to_polygon"]) == (3, math.hypot(0.5, 1))
+
+
+def test_clustered_and_repeated_probes(spark):
+    rng = random.Random(12)
+    t = cloud(rng, 200, True) + [(1.0, 1.0)] * 40
+    q = [(1.0, 1.0)] * 30 + cloud(rng, 30, True)
+    frame, probe = SpatialFrame(points(spark, t), "idx", "idy"), points(spark, q, "q")
+    near = sorted((i, j) for i, a in enumerate(q) for j in sorted(range(len(t)), key=lambda j: (math.hypot(a[0] - t[j][0], a[1] - t[j][1]), j))[:5])
+    assert rows(frame.lazy().knn_join(probe, "qx", "qy", 5, tie="id").to_df(), "q", "id") == near
+
+
+def test_pairs_without_a_key(spark):
+    polys = shapes(random.Random(13), 20)
+    frame = polygon_frame(spark, polys)
+    assert frame.intersects_pairs().count() == frame.intersects_pairs("pid").count() > 0
 
 
 def test_intersecting_pairs_match_kernels(spark):

@@ -11,17 +11,17 @@ def edges(parts):
     return kernels.edge_array(geo.edges_of_parts(parts))
 
 
-SQUARE = geo.box(0, 0, 2, 2)
+FIELD = geo.box(0, 0, 5, 3)
 
 
-def test_overlap_of_squares():
-    assert kernels.overlap_area(edges(SQUARE), edges(geo.box(1, 1, 3, 3))) == pytest.approx(1)
-    assert kernels.overlap_area(edges(SQUARE), edges(geo.box(5, 5, 6, 6))) == 0
-    holed = [[[(0, 0), (4, 0), (4, 4), (0, 4)], [(1, 1), (3, 1), (3, 3), (1, 3)]]]
-    assert kernels.overlap_area(edges(holed), edges(geo.box(0, 0, 4, 4))) == pytest.approx(12)
-    assert kernels.overlap_area(edges(holed), edges(geo.box(1, 1, 3, 3))) == pytest.approx(0, abs=1e-12)
-    two = geo.box(0, 0, 1, 1) + geo.box(2, 0, 3, 1)
-    assert kernels.overlap_area(edges(two), edges(geo.box(0.5, 0, 2.5, 1))) == pytest.approx(1)
+def test_overlap_of_boxes_holes_and_parts():
+    assert kernels.overlap_area(edges(FIELD), edges(geo.box(4, 1, 9, 9))) == pytest.approx(2)
+    assert kernels.overlap_area(edges(FIELD), edges(geo.box(7, 7, 8, 9))) == 0
+    holed = [[[(0, 0), (6, 0), (6, 4), (0, 4)], [(1, 1), (5, 1), (5, 3), (1, 3)]]]
+    assert kernels.overlap_area(edges(holed), edges(geo.box(-1, -1, 7, 5))) == pytest.approx(16)
+    assert kernels.overlap_area(edges(holed), edges(geo.box(2, 1, 5, 3))) == pytest.approx(0, abs=1e-12)
+    two = geo.box(0, 0, 1, 2) + geo.box(3, 0, 4, 2)
+    assert kernels.overlap_area(edges(two), edges(geo.box(0.5, 0, 3.25, 1))) == pytest.approx(0.75)
 
 
 def test_overlap_of_random_triangles_by_sampling():
@@ -34,16 +34,14 @@ def test_overlap_of_random_triangles_by_sampling():
 
 
 def test_intersects_counts_touch_and_containment():
-    assert kernels.intersects(edges(SQUARE), edges(geo.box(2, 0, 3, 1)))
-    assert kernels.intersects(edges(SQUARE), edges(geo.box(2, 2, 3, 3)))
-    assert kernels.intersects(edges(SQUARE), edges(geo.box(0.5, 0.5, 1, 1)))
-    assert not kernels.intersects(edges(SQUARE), edges(geo.box(2.1, 0, 3, 1)))
+    for other, met in ((geo.box(5, 0, 6, 1), True), (geo.box(5, 3, 6, 4), True), (geo.box(1, 1, 2, 2), True), (geo.box(5.1, 0, 6, 1), False)):
+        assert kernels.intersects(edges(FIELD), edges(other)) == met
 
 
 def test_hull():
-    assert kernels.hull_area([0, 2, 2, 0, 1], [0, 0, 2, 2, 1]) == 4
-    assert kernels.hull_area([0, 1], [0, 1]) == kernels.hull_area([], []) == kernels.hull_area([0, 1, 2], [0, 1, 2]) == 0
-    assert kernels.hull_area([0, 1, 1, None, float("nan")], [0, 0, 1, 5, 5]) == 0.5
+    assert kernels.hull_area([0, 3, 3, 0, 1], [0, 0, 1, 1, 0.5]) == 3
+    assert kernels.hull_area([2, 7], [1, 4]) == kernels.hull_area([], []) == kernels.hull_area([0, 2, 4], [0, 1, 2]) == 0
+    assert kernels.hull_area([0, 2, 2, None, float("nan")], [0, 0, 3, 5, 5]) == 3
 
 
 def test_wkb_variants():

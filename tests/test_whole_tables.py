@@ -35,7 +35,7 @@ def test_every_trip_has_a_row(spark, name):
 def test_every_probe_may_be_joined(spark, name, column):
     table, key = ("embeddings", "vec_id") if column == "a" else ("customer", "c_custkey")
     got, every = compare(spark, name, table, key, column)
-    assert got <= every and {k % 5 for k in got} == set(range(5))
+    assert got <= every and {k % 2 for k in got} == {0, 1}
 
 
 @pytest.mark.skipif(not os.path.isdir(DIR), reason="no test tables")
