@@ -4,7 +4,8 @@ Each word enters as a word vector (of words that at least SUPPORT sampled docume
 zero vector for others) joined with a character vector (the mean of its hashed character
 trigrams). Forward and backward gated recurrent units read a
 window of words, attention pools their states, and a logistic unit scores the window. A
-document is read in overlapping windows over its whole text and scores as its worst window.
+document is read in overlapping windows over its whole text and scores as its worst window;
+each window overlaps half of the next one (a window at every word would take twenty times the work).
 
 Training is plain numpy: hand-written back-propagation through time and Adam, on a bounded
 sample of labelled documents. A toxic document's positive example is its most suspicious
@@ -32,7 +33,7 @@ from gridloom.llm import common
 
 _KEEP = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 or c == 39 else 32 for c in range(256))
 SUPPORT, TRIGRAMS, WORD_DIM, CHAR_DIM, HIDDEN, ATTEND = 4, 4096, 8, 6, 8, 6
-WINDOW, STRIDE = 40, 30
+WINDOW, STRIDE = 40, 20
 
 
 def words_of(raw: bytes) -> list[bytes]:
