@@ -3,6 +3,12 @@
 STAGES lists (name, function); a function takes (spark, docs, sf_dir) and returns the
 documents it keeps. All but the last return the columns of ``documents``; texts that a stage
 changes get their new length in n_chars.
+
+Cases, for every stage: an empty table gives an empty table; extra columns pass through,
+also those named like a stage's own columns (case aside, such a name would clash); a null
+text is a document without a language and goes in the first stage, and the later ones, called by
+themselves, keep it; rows with a null doc_id are documents of their own; very long texts are read whole.
+Repeated rows are kept by all stages but near_dedup, which keeps one row of a doc_id.
 """
 
 from __future__ import annotations
@@ -19,17 +25,25 @@ def _columns(docs: DataFrame, like: DataFrame) -> DataFrame:
 
 
 def language_id(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents in which no language can be told; lang becomes the predicted one."""
+    """Rejects documents in which no language can be told; lang becomes the predicted one. With no label to learn from, none can."""
     model = langid.fit(docs)
     found = langid.identify(docs, model).filter("lang_pred <> 'und'")
     return found.withColumn("lang", F.col("lang_pred")).select(docs.columns)
 
 
 def near_dedup(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest doc_id of each group linked by five-word shingles at a similarity of 0.8."""
-    groups = neardup.near_duplicates(docs, shingle=5, percent=80)
+    """Keeps the smallest doc_id of each group linked by five-word shingles at a similarity of 0.8.
+
+    Of rows that share a doc_id, which act as one document, the least text stays.
+    """
+    groups = common.stage(neardup.near_duplicates(docs, shingle=5, percent=80).select("doc_id", "kept"), "groups")
     gone = groups.filter(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    once = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    repeated = common.stage(groups.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 and doc_id is not null").select("doc_id"), "repeated")
+    if repeated.isEmpty():
+        return once
+    least = once.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.coalesce("text", F.lit(""))).alias("row"))
+    return once.join(repeated, "doc_id", "left_anti").select(docs.columns).unionByName(least.select("row.*"))
 
 
 def decontamination(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
