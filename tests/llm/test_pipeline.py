@@ -49,3 +49,22 @@ def test_redaction_in_the_stage(spark, tmp_path):
     df = spark.createDataFrame([(1, "mail a.b@c.org", "en", "s", 14)], "doc_id long, text string, lang string, source string, n_chars long")
     row = corpus_pipeline.personal_data(spark, df, str(tmp_path)).collect()[0]
     assert row["text"] == "mail [EMAIL]" and row["n_chars"] == 12
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def test_stages_on_empty_repeated_and_odd_rows(spark, tmp_path):
+    """Empty tables, repeated rows, null ids and texts, and extra columns named like the stages' own."""
+    _, item = write(spark, tmp_path)
+    rows = [(1, "the cat and the dog sat in the sun", "en", "s", 34)] * 2 + [(None, "der hund und die katze", "de", "s", 22)] * 2 + [(3, None, "en", "s", 0)]
+    odd = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "'x' lang_pred", "'x' Kept", "1 pii_spans", "2 hit_runs", "3 n_words")
+    for name, function in corpus_pipeline.STAGES:
+        assert function(spark, odd.limit(0), str(tmp_path)).count() == 0
+        got = function(spark, odd, str(tmp_path))
+        ids = sorted((r["doc_id"] or 0) for r in got.collect())
+        if name == "source_mixing":
+            assert set(ids) <= {0, 1, 3}
+            continue
+        assert got.columns == odd.columns
+        assert ids == {"language_id": [0, 0, 1, 1], "near_dedup": [0, 0, 1, 3]}.get(name, [0, 0, 1, 1, 3])
