@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import contextlib
-import os
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -14,8 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gridloom.operators.staging import at_end, delete, fresh_path
+
 #: Text bytes handled at once in a Python worker.
-SLICE_BYTES = 6 << 20
+SLICE_BYTES = 2 << 20
 
 ASCII_UPPER = bytes(range(65, 91))
 ASCII_LOWER = bytes(range(97, 123))
@@ -33,19 +33,6 @@ def fold_of(column: str, buckets: int):
 # -- tables that cut the lineage -------------------------------------------------------
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; one of our own only where it is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        context = spark.sparkContext._jsc.sc()
-        if context.getCheckpointDir().isDefined():
-            root = context.getCheckpointDir().get()
-    if not root:
-        root = tempfile.mkdtemp(prefix="gridloom-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
 @contextlib.contextmanager
 def tidy(spark: SparkSession):
     """Within it, each execution's shuffle files go when it ends, so that finished jobs hold no disk."""
@@ -62,11 +49,12 @@ def tidy(spark: SparkSession):
 
 
 class Stage:
-    """A DataFrame written to the shared folder; drop() deletes the files once nothing reads them."""
+    """A DataFrame written to the shared folder; drop() deletes the files once nothing reads them, else they go with the application."""
 
     def __init__(self, df: DataFrame, name: str = "stage"):
         self.spark = df.sparkSession
-        self.path = f"{shared_dir(self.spark)}/{name}-{uuid.uuid4().hex}"
+        self.path = fresh_path(self.spark, name)
+        at_end(self.spark, self.path)
         with tidy(self.spark):
             df.write.option("compression", "zstd").parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
@@ -81,7 +69,8 @@ class Bucketed:
     def __init__(self, df: DataFrame, key: str, buckets: int, name: str = "bucketed"):
         self.spark = df.sparkSession
         self.table = f"{name}_{uuid.uuid4().hex}".replace("-", "_")
-        self.path = f"{shared_dir(self.spark)}/{self.table}"
+        self.path = fresh_path(self.spark, name)
+        at_end(self.spark, self.path)
         buckets = min(buckets, int(self.spark.conf.get("spark.sql.sources.bucketing.maxBuckets")))
         with tidy(self.spark):
             df.repartition(buckets, key).write.option("path", self.path).option("compression", "zstd").bucketBy(buckets, key).sortBy(key).saveAsTable(self.table)
@@ -92,11 +81,6 @@ class Bucketed:
         delete(self.spark, self.path)
 
 
-def delete(spark: SparkSession, path: str) -> None:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     return Stage(df, name).df
 

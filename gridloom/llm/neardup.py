@@ -167,17 +167,18 @@ def _confirm(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) ->
             return set(zip(*[w[i:] for i in range(k)])) if w else set()
 
         for batch in batches:
-            keep = []
-            for i, (mine, other) in enumerate(zip(common.raw_texts(batch, "text"), common.raw_texts(batch, "ptext"))):
-                if other != held:
-                    held, held_set = other, words(other)
-                own = words(mine)
-                both = len(own & held_set)
-                union = len(own) + len(held_set) - both
-                if union and 100 * both >= percent * union:
-                    keep.append(i)
-            rows = pa.array(keep, pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows)], names=["a", "b"])
+            for part in common.slices(batch, "text"):
+                keep = []
+                for i, (mine, other) in enumerate(zip(common.raw_texts(part, "text"), common.raw_texts(part, "ptext"))):
+                    if other != held:
+                        held, held_set = other, words(other)
+                    own = words(mine)
+                    both = len(own & held_set)
+                    union = len(own) + len(held_set) - both
+                    if union and 100 * both >= percent * union:
+                        keep.append(i)
+                rows = pa.array(keep, pa.int32())
+                yield pa.RecordBatch.from_arrays([part.column(0).take(rows), part.column(1).take(rows)], names=["a", "b"])
 
     left = pairs.join(texts, "id")
     both = left.join(texts.select(F.col("id").alias("pid"), F.col("text").alias("ptext")), "pid")
