@@ -5,9 +5,13 @@ document's words are streamed through it, and the longest match ending at each w
 tracked. A word is hit when it lies in an occurrence of ``window`` consecutive item words,
 or of a whole item that is shorter than that.
 
-Items are read to the driver in shards of at most ``shard_words`` words, so each broadcast
-automaton has a proven size; benchmarks beyond one shard make several passes whose hit
-runs are merged by document.
+Items are cut into pieces that overlap by a window less a word, and dealt by hash into shards of about
+``shard_bytes`` of text. Each shard's automaton is built in a task and packed into arrays: at
+most two states and three transitions a word, 68 bytes a word in all, besides its distinct
+words. A packed shard is broadcast (its size is counted first), and documents are matched against it in
+numpy, many stretches side by side; a stretch starts a window less a word early, which is
+all that hits depend on. Benchmarks beyond one shard make several passes; each is written
+before the next and merges its hit runs by document.
 
 Cases: null and empty texts have no words and no hits; items without words are ignored;
 repeated items count by distinct item_id; an empty benchmark leaves everything clean;
@@ -16,7 +20,8 @@ very long texts are streamed whole. Columns named like the outputs give way.
 
 from __future__ import annotations
 
-import hashlib
+import itertools
+import pickle
 
 import numpy as np
 import pyarrow as pa
@@ -105,61 +110,131 @@ class Automaton:
         for v in order[1:]:
             self.short_state[v] = v if v in self.shorts_at else self.short_state[self.link[v]]
 
-    def match(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
-        """Hit word runs [start, end) in order, and the items whose windows occur."""
-        vocab, nxt, link, length, window = self.vocab, self.next, self.link, self.length, self.window
-        wstate, sstate, has_short = self.window_state, self.short_state, bool(self.shorts_at)
-        runs: list[list[int]] = []
-        items: set[str] = set()
-        v = l = 0
-        for i, word in enumerate(words):
-            c = vocab.get(word)
-            if c is None:
-                v = l = 0
-                continue
-            while v and c not in nxt[v]:
-                v = link[v]
-                l = length[v]
-            to = nxt[v].get(c)
-            if to is None:
-                v = l = 0
-                continue
-            v, l = to, l + 1
-            start = i + 1
-            if l >= window:
-                start = i + 1 - window
-                items |= self.items_at[wstate[v]]
-            if has_short:
-                s = sstate[v]
+    def pack(self) -> "Packed":
+        states = np.repeat(np.arange(len(self.next)), [len(t) for t in self.next])
+        symbols = np.fromiter(itertools.chain.from_iterable(self.next), np.int64, len(states))
+        to = np.fromiter(itertools.chain.from_iterable(t.values() for t in self.next), np.int32, len(states))
+        keys = states * max(1, len(self.vocab)) + symbols
+        order = np.argsort(keys)
+        names = sorted(set().union(*self.items_at.values(), *(n for s in self.shorts_at.values() for n in s.values())))
+        number = {n: i for i, n in enumerate(names)}
+        listed = [(v, number[n]) for v, found in self.items_at.items() for n in found]
+        shorts = {v: [(m, [number[n] for n in found]) for m, found in s.items()] for v, s in self.shorts_at.items()}
+        as_int = lambda x: np.array(x, np.int32)
+        return Packed(self.window, list(self.vocab), names, keys[order], to[order], as_int(self.link), as_int(self.length), as_int(self.window_state), as_int(self.short_state), np.array(sorted(listed), np.int64).reshape(-1, 2), shorts)
+
+
+#: Words of a stretch that is matched beside others.
+STRETCH = 256
+
+
+class Packed:
+    """A generalised suffix automaton in arrays, matched against many documents at once."""
+
+    def __init__(self, window, words, names, keys, to, link, length, window_state, short_state, listed, shorts):
+        self.window, self.words, self.names, self.keys, self.to = window, words, names, keys, to
+        self.link, self.length, self.window_state, self.short_state, self.listed, self.shorts = link, length, window_state, short_state, listed, shorts
+        self.vocab: dict[bytes, int] | None = None
+
+    def __getstate__(self):
+        return {**self.__dict__, "vocab": None}
+
+    def _walk(self, ids: np.ndarray, begin: np.ndarray, own: np.ndarray, end: np.ndarray):
+        """(position, state, length) after each word of the stretches [own, end), read from begin, that may end a hit."""
+        size = end - begin
+        order = np.argsort(-size, kind="stable")
+        begin, own, size = begin[order], own[order], size[order]
+        state, length = np.zeros(len(begin), np.int64), np.zeros(len(begin), np.int64)
+        wide = max(1, len(self.words))
+        out = []
+        for t in range(int(size[0]) if len(size) else 0):
+            k = int(np.searchsorted(-size, -t, side="left"))
+            c, v, l = ids[begin[:k] + t], state[:k], length[:k]
+            v[c < 0] = 0
+            l[c < 0] = 0
+            left = np.flatnonzero(c >= 0)
+            while left.size:
+                key = v[left] * wide + c[left]
+                at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+                there = self.keys[at] == key
+                done = left[there]
+                v[done] = self.to[at[there]]
+                l[done] += 1
+                left = left[~there]
+                root = v[left] == 0
+                l[left[root]] = 0
+                left = left[~root]
+                v[left] = self.link[v[left]]
+                l[left] = self.length[v[left]]
+            hit = np.flatnonzero(((l >= self.window) | (self.short_state[v] > 0)) & (begin[:k] + t >= own[:k]))
+            if hit.size:
+                out.append((begin[hit] + t, v[hit].copy(), l[hit].copy()))
+        return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 3
+
+    def match(self, docs: list[list[bytes]]) -> list[tuple[list[list[int]], set[str]]]:
+        """Of each document, the hit word runs [start, end) in order, and the items whose windows occur."""
+        if self.vocab is None:
+            self.vocab = {w: i for i, w in enumerate(self.words)}
+        sizes = np.array([len(d) for d in docs], np.int64)
+        first = np.cumsum(sizes + 1) - sizes - 1  # a gap after each document keeps them apart
+        ids = np.full(int((sizes + 1).sum()), -1, np.int64)
+        inside = np.repeat(first - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+        ids[inside] = np.fromiter(map(self.vocab.get, itertools.chain.from_iterable(docs), itertools.repeat(-1)), np.int64, int(sizes.sum()))
+        count = -(-sizes // STRETCH)
+        doc = np.repeat(np.arange(len(docs)), count)
+        own = first[doc] + (np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)) * STRETCH
+        pos, state, length = self._walk(ids, np.maximum(first[doc], own - self.window + 1), own, np.minimum(first[doc] + sizes[doc], own + STRETCH))
+        change, found = np.zeros(len(ids) + 1, np.int64), [set() for _ in docs]
+        whole = length >= self.window
+        change[pos[whole] - self.window + 1] += 1
+        change[pos[whole] + 1] -= 1
+        where = np.searchsorted(first, pos, side="right") - 1
+        for d, s in np.unique(np.stack((where[whole], self.window_state[state[whole]])), axis=1).T.tolist():
+            a, b = np.searchsorted(self.listed[:, 0], [s, s + 1])
+            found[d].update(self.names[i] for i in self.listed[a:b, 1])
+        if self.shorts:
+            for p, s, l, d in zip(pos.tolist(), self.short_state[state].tolist(), length.tolist(), where.tolist()):
                 while s > 0:
-                    for m, names in self.shorts_at[s].items():
+                    for m, names in self.shorts[s]:
                         if m <= l:
-                            items |= names
-                            start = min(start, i + 1 - m)
-                    up = link[s]
-                    s = sstate[up] if up > 0 else -1
-            if start <= i:
-                if runs and runs[-1][1] >= start:
-                    while len(runs) > 1 and runs[-2][1] >= start:
-                        runs.pop()
-                    runs[-1] = [min(runs[-1][0], start), i + 1]
-                else:
-                    runs.append([start, i + 1])
-        return [(a, b) for a, b in runs], items
-
-
-def _shards(benchmark: DataFrame, item_col: str, text_col: str, window: int, shard_words: int):
-    """Automata over the items in id order, each of at most shard_words words or one item."""
-    held, size = [], 0
-    rows = benchmark.select(F.col(item_col).cast("string").alias("name"), F.col(text_col).cast("binary").alias("raw")).filter("name is not null and raw is not null").orderBy("name")
-    for row in rows.toLocalIterator():
-        words = words_of(bytes(row["raw"]))
-        if held and size + len(words) > shard_words:
-            yield Automaton(held, window)
-            held, size = [], 0
-        held.append((row["name"], words))
-        size += len(words)
-    yield Automaton(held, window)
+                            found[d].update(self.names[i] for i in names)
+                            change[p + 1 - m] += 1
+                            change[p + 1] -= 1
+                    up = self.link[s]
+                    s = self.short_state[up] if up > 0 else -1
+        edge = np.diff(np.concatenate(([0], (np.cumsum(change) > 0).astype(np.int8), [0])))
+        starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        runs: list[list[list[int]]] = [[] for _ in docs]
+        for d, a, b in zip((np.searchsorted(first, starts, side="right") - 1).tolist(), starts.tolist(), ends.tolist()):
+            runs[d].append([a - int(first[d]), b - int(first[d])])
+        return list(zip(runs, found))
+
+
+def _shards(benchmark: DataFrame, item_col: str, text_col: str, window: int, shard_bytes: int) -> tuple[common.Stage, int]:
+    """(shard, packed automaton) of the items, one row a shard, and the number of shards."""
+    rows = benchmark.select(F.col(item_col).cast("string").alias("name"), F.col(text_col).cast("binary").alias("raw")).filter("name is not null and raw is not null")
+    size = rows.agg(F.sum(F.octet_length("raw"))).first()[0] or 0
+    shards = max(1, -(-size // shard_bytes))
+    piece = max(window, shard_bytes // 64)  # words; a small part of a shard
+
+    def cut(batch: pa.RecordBatch):
+        out = {"name": [], "at": [], "raw": []}
+        for name, raw in zip(batch.column(0).to_pylist(), common.raw_texts(batch, "raw")):
+            words = words_of(raw)
+            for a in range(0, len(words), piece):
+                part = words[a : a + piece + window - 1]
+                if not a or len(part) >= window:
+                    for key, value in zip(out, (name, a, b" ".join(part))):
+                        out[key].append(value)
+        yield {"name": pa.array(out["name"], pa.string()), "at": pa.array(out["at"], pa.int64()), "raw": pa.array(out["raw"], pa.binary())}
+
+    def build(table: pa.Table) -> pa.Table:
+        items = sorted(zip(table["name"].to_pylist(), table["raw"].to_pylist()))
+        packed = Automaton([(name, raw.split()) for name, raw in items], window).pack()
+        return pa.table({"shard": table["shard"][:1].cast(pa.int64()), "packed": pa.array([pickle.dumps(packed, protocol=5)], pa.binary())})
+
+    pieces = common.emit_rows(rows, "raw", "name string, at long, raw binary", cut).withColumn("shard", F.pmod(F.xxhash64("name", "at"), F.lit(shards)))
+    return common.Stage(pieces.groupBy("shard").applyInArrow(build, "shard long, packed binary"), "automata"), shards
 
 
 FIELDS = T.StructType([
@@ -169,23 +244,6 @@ FIELDS = T.StructType([
 ])
 
 
-def _pass(docs: DataFrame, automaton: Automaton, text_col: str) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(automaton)
-
-    def compute(part: pa.RecordBatch) -> list:
-        found = shared.value
-        n, runs, items = [], [], []
-        for raw in common.raw_texts(part, text_col):
-            words = words_of(raw)
-            hit, names = found.match(words)
-            n.append(len(words))
-            runs.append([list(r) for r in hit])
-            items.append(sorted(names))
-        return [pa.array(n, pa.int64()), pa.array(runs, pa.list_(pa.list_(pa.int32()))), pa.array(items, pa.list_(pa.string()))]
-
-    return common.append_columns(docs, text_col, FIELDS, compute)
-
-
 def _merge_runs(runs: list[list[int]]) -> list[list[int]]:
     out: list[list[int]] = []
     for a, b in sorted(runs):
@@ -196,23 +254,41 @@ def _merge_runs(runs: list[list[int]]) -> list[list[int]]:
     return out
 
 
-def find_hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = 10, shard_words: int = 2_000_000) -> DataFrame:
-    """Add n_words, hit_runs (word ranges, end exclusive) and hit_items (sorted as strings)."""
-    out = None
-    for automaton in _shards(benchmark, item_col, item_text, window, shard_words):
-        if out is None:
-            out = _pass(docs, automaton, text_col)
-            continue
-        before = out.withColumnsRenamed({"hit_runs": "_runs", "hit_items": "_items"}).drop("n_words")
-        joined = _pass(before, automaton, text_col)
+def _pass(docs: DataFrame, shared, text_col: str, more: bool) -> DataFrame:
+    """Hits of one automaton; with more, joined with those of the columns _runs and _items, which go."""
+
+    def compute(part: pa.RecordBatch) -> list:
+        words = [words_of(raw) for raw in common.raw_texts(part, text_col)]
+        runs, items = map(list, zip(*shared.value.match(words)))
+        if more:
+            before = [part.column(part.schema.get_field_index(c)).to_pylist() for c in ("_runs", "_items")]
+            runs = [_merge_runs(r + [list(x) for x in old]) for r, old in zip(runs, before[0])]
+            items = [found.union(old) for found, old in zip(items, before[1])]
+        return [pa.array([len(w) for w in words], pa.int64()), pa.array(runs, pa.list_(pa.list_(pa.int32()))), pa.array([sorted(x) for x in items], pa.list_(pa.string()))]
 
-        @F.pandas_udf("array<array<int>>")
-        def merged(a, b):
-            import pandas as pd
+    out = common.append_columns(docs, text_col, FIELDS, compute)
+    return out.drop("_runs", "_items") if more else out
 
-            return pd.Series([_merge_runs([list(r) for r in x] + [list(r) for r in y]) for x, y in zip(a, b)])
 
-        out = joined.withColumn("hit_runs", merged("hit_runs", "_runs")).withColumn("hit_items", F.array_sort(F.array_union("hit_items", "_items"))).drop("_runs", "_items")
+def find_hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = 10, shard_bytes: int = 4 << 20) -> DataFrame:
+    """Add n_words, hit_runs (word ranges, end exclusive) and hit_items (sorted as strings)."""
+    spark = docs.sparkSession
+    built, shards = _shards(benchmark, item_col, item_text, window, shard_bytes)
+    out, held = docs, None
+    for shard in range(shards):
+        row = built.df.filter(F.col("shard") == shard).select("packed").first()
+        shared = spark.sparkContext.broadcast(pickle.loads(row["packed"]) if row else Automaton([], window).pack())
+        before = out.withColumnsRenamed({"hit_runs": "_runs", "hit_items": "_items"}).drop("n_words") if shard else out
+        found = _pass(before, shared, text_col, bool(shard))
+        if shards == 1:
+            out = found
+            break
+        after = common.Stage(found, "hits")
+        shared.unpersist()
+        if held is not None:
+            held.drop()
+        out, held = after.df, after
+    built.drop()
     return out
 
 

@@ -22,10 +22,29 @@ def test_automaton_matches_brute_force():
     for trial in range(300):
         vocab = [bytes([97 + i]) for i in range(rng.choice([1, 2, 3]))]
         items = [(str(i), [rng.choice(vocab) for _ in range(rng.randint(0, 9))]) for i in range(rng.randint(0, 5))]
-        words = [rng.choice([*vocab, b"zz"] if rng.random() < 0.5 else vocab) for _ in range(rng.randint(0, 25))]
-        runs, names = dc.Automaton(items, 4).match(words)
-        assert (set(i for a, b in runs for i in range(a, b)), names) == brute(words, items, 4)
-        assert all(x[1] < y[0] for x, y in zip(runs, runs[1:]))
+        docs = [[rng.choice([*vocab, b"zz"] if rng.random() < 0.5 else vocab) for _ in range(rng.randint(0, 25))] for _ in range(4)]
+        for words, (runs, names) in zip(docs, dc.Automaton(items, 4).pack().match(docs)):
+            assert (set(i for a, b in runs for i in range(a, b)), names) == brute(words, items, 4)
+            assert all(x[1] < y[0] for x, y in zip(runs, runs[1:]))
+
+
+def test_stretches_do_not_matter(monkeypatch):
+    rng = random.Random(9)
+    items = [(str(i), [rng.choice([b"a", b"b"]) for _ in range(rng.randint(1, 14))]) for i in range(4)]
+    docs = [[rng.choice([b"a", b"b", b"c"]) for _ in range(n)] for n in (0, 1, 50, 200)]
+    found = []
+    for n in (1, 7, 1000):
+        monkeypatch.setattr(dc, "STRETCH", n)
+        found.append(dc.Automaton(items, 6).pack().match(docs))
+    assert found[0] == found[1] == found[2]
+
+
+def test_packed_size_is_bounded():
+    rng = random.Random(8)
+    words = [b"w%d" % rng.randint(0, 50) for _ in range(20000)]
+    p = dc.Automaton([("a", words)]).pack()
+    assert len(p.link) <= 2 * len(words) and len(p.keys) <= 3 * len(words)
+    assert sum(x.nbytes for x in (p.keys, p.to, p.link, p.length, p.window_state, p.short_state)) <= 68 * len(words)
 
 
 def test_shards_give_the_same_hits(spark):
@@ -33,7 +52,7 @@ def test_shards_give_the_same_hits(spark):
     text = lambda n: " ".join(rng.choice("abc") for _ in range(n))
     bench = spark.createDataFrame([(i, text(rng.randint(0, 8))) for i in range(12)] + [(99, None)], "item_id long, text string")
     docs = spark.createDataFrame([(i, text(40)) for i in range(20)], "doc_id long, text string")
-    one, many = (sorted(dc.find_hits(docs, bench, window=5, shard_words=n).collect()) for n in (10**6, 10))
+    one, many = (sorted(dc.find_hits(docs, bench, window=5, shard_bytes=n).collect()) for n in (10**6, 40))
     assert one == many
 
 
