@@ -8,7 +8,7 @@ margin is the mean of per-position weights and whole texts of any length are sco
 Cases: null text, empty text and text without a letter give ``und`` with score 0. Training
 ignores rows with a null label or null text; with no usable row every answer is ``und``. A
 single learned language is answered with score 1. Ties between languages go to the
-alphabetically first. Repeated rows are scored alike. Columns named like the outputs give way.
+alphabetically first. Rows with a null id are scored but teach nothing. Repeated rows are scored alike. Columns named like the outputs give way.
 """
 
 from __future__ import annotations
@@ -146,23 +146,30 @@ PACKED = T.StructType([T.StructField("_vector", T.BinaryType())])
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 1000) -> LanguageModel:
     """Train on at most per_language rows of each language, taken in hash order of the id.
 
-    Only the chosen ids travel before the texts are read. Executors read whole texts; the
-    driver gets feature vectors of fixed size, at most per_language of each language.
+    Only the chosen ids travel before the texts are read, and of a language with more rows only those whose
+    hash lies in the share that holds about four times per_language of them, so what is ranked does not grow
+    with the table. Of rows that share an id and a language one is used. Executors read whole texts; the driver gets the counts of the languages and feature
+    vectors of fixed size, at most per_language of each language.
     """
-    ids = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(lang_col).cast("string").alias("_lang"))
-    rank = F.row_number().over(Window.partitionBy("_lang").orderBy(F.xxhash64("_id"), "_id"))
+    usable = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    ids = usable.select(F.col(id_col).alias("_id"), F.col(lang_col).cast("string").alias("_lang"), F.shiftrightunsigned(F.xxhash64(id_col), 1).alias("_hash"))
+    rows = ids.groupBy("_lang").agg(F.count("*").alias("n")).filter(F.col("n") > 4 * per_language).collect()
+    for r in sorted(rows, key=lambda r: r["_lang"]):
+        ids = ids.filter((F.col("_lang") != r["_lang"]) | (F.col("_hash") < 4 * per_language * (1 << 63) // r["n"]))
+    rank = F.dense_rank().over(Window.partitionBy("_lang").orderBy("_hash", "_id"))
     chosen = ids.withColumn("_rank", rank).filter(F.col("_rank") <= per_language).select("_id").distinct()
     rows = (
         labelled.select(F.col(id_col).alias("_id"), F.col(text_col).cast("binary").alias("_text"), F.col(lang_col).cast("string").alias("_lang"))
         .filter("_text is not null and _lang is not null")
-        .join(F.broadcast(chosen), "_id", "left_semi").select("_lang", "_text")
+        .join(F.broadcast(chosen), "_id", "left_semi")
     )
 
     def compute(part: pa.RecordBatch) -> list:
         packed = [zlib.compress(features([t]).tobytes(), 1) if has_letter(t) else None for t in common.raw_texts(part, "_text")]
         return [pa.array(packed, pa.binary())]
 
-    kept = common.append_columns(rows, "_text", PACKED, compute).select("_lang", "_vector").filter("_vector is not null").collect()
+    vectors = common.append_columns(rows, "_text", PACKED, compute).filter("_vector is not null")
+    kept = vectors.groupBy("_id", "_lang").agg(F.max("_vector").alias("_vector")).collect()
     return train(sorted((r["_lang"], zlib.decompress(r["_vector"])) for r in kept))
 
 
