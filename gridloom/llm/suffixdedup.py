@@ -6,15 +6,18 @@ with a smaller id or earlier in the same one. Strings are judged on the input.
 Anchors. Not every suffix is sorted: a suffix starts at an anchor, a position whose
 ``gram``-byte hash is the least within some string of ``span`` bytes. Equal strings hold
 equal anchors, so every repeat is met at an anchor, and only about 2 / (span - gram + 2) of
-the positions are kept. An anchor is sent on as two independent 64-bit hashes, of its gram
-and of its whole context (all strings of ``span`` bytes around it), never as text.
+the positions are kept. An anchor is sent on as the polynomial hash of its gram and a 128-bit
+BLAKE2b digest of its whole context (all strings of ``span`` bytes around it), never as text.
 
-Equal contexts are settled by their hashes alone: all but the first lose the whole context.
-This happens first within each batch of documents, so that passages that very many documents
+Equal contexts, by hash and confirmed by digest, are settled first: all but the first lose the whole context.
+This happens within each batch of documents, so that passages that very many documents
 share are merged before the shuffle, and then for all documents, streaming over rows sorted
-by hash. Only contexts that differ although their grams agree are fetched as bytes.
+by hash. Only contexts that differ although their grams agree are fetched as bytes. A string
+that leaves the anchor o bytes in holds the core of its half: the gram with what lies right of it up to half the reach
+(small o), or with as much left of it (large o). Contexts are therefore dealt by the
+hashes of their two cores and meet only those that share one, however common the gram.
 
-Suffix sort. In those, the suffixes right of the anchor and the reversed prefixes left of it
+Suffix sort. There, the suffixes right of the anchor and the reversed prefixes left of it
 are each sorted by a merge sort whose comparisons find the common extension by binary search
 over prefix polynomial hashes, a logarithmic number of steps per comparison. The common
 extensions of sorted neighbours are verified against the bytes, which corrects any collision.
@@ -30,6 +33,7 @@ an empty table gives no rows. Columns named like the outputs give way.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -40,17 +44,17 @@ from pyspark.sql import types as T
 from gridloom.llm import common
 
 PIECE = 1 << 20
-_BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
+_BASE = 0x9E3779B97F4A7C15
 _MAX = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 class _Hasher:
     """Prefix polynomial hashes modulo 2^64 over random byte values; odd bases are invertible."""
 
-    def __init__(self, which: int):
-        self.base = _BASES[which]
+    def __init__(self):
+        self.base = _BASE
         self.inverse = pow(self.base, -1, 1 << 64)
-        self.values = np.random.default_rng(1000 + which).integers(1, 1 << 63, 256, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+        self.values = np.random.default_rng(1000).integers(1, 1 << 63, 256, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
         self.up = self.down = np.ones(1, np.uint64)
 
     def powers(self, n: int) -> None:
@@ -67,17 +71,14 @@ class _Hasher:
         np.cumsum(self.values[data] * self.up[: len(data)], out=out[1:])
         return out
 
-    def of(self, prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return (prefix[end] - prefix[start]) * self.down[start]
-
 
 _hashers: list[_Hasher] = []
 
 
-def hashers() -> list[_Hasher]:
+def hasher() -> _Hasher:
     if not _hashers:
-        _hashers.extend((_Hasher(0), _Hasher(1)))
-    return _hashers
+        _hashers.append(_Hasher())
+    return _hashers[0]
 
 
 def _slide(x: np.ndarray, width: int, best, fill) -> np.ndarray:
@@ -91,17 +92,17 @@ def _slide(x: np.ndarray, width: int, best, fill) -> np.ndarray:
 
 
 def anchors_of(data: np.ndarray, ends: np.ndarray, span: int, gram: int):
-    """(positions, gram hash, context hash, left reach, right reach) over joined documents; ends: each one's end."""
-    one, two = hashers()
+    """(positions, gram hash, left reach, right reach) over joined documents; ends: each one's end."""
+    one = hasher()
     n = len(data)
-    p1, p2 = one.prefix(data), two.prefix(data)
+    p1 = one.prefix(data)
     starts = np.concatenate(([0], ends[:-1]))
     end_at = np.repeat(ends, ends - starts)
     pos = np.arange(n)
     h = np.full(n, _MAX, np.uint64)
     inside = n - gram + 1
     if inside <= 0:
-        return (np.zeros(0, np.int64),) + (np.zeros(0, np.uint64),) * 2 + (np.zeros(0, np.int64),) * 2
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     h[:inside] = common.mix64((p1[gram:] - p1[:inside]) * one.down[:inside]) | np.uint64(1)
     width = span - gram + 1
     least = _slide(h, width, np.minimum, _MAX)
@@ -110,8 +111,14 @@ def anchors_of(data: np.ndarray, ends: np.ndarray, span: int, gram: int):
     at = np.flatnonzero(most == h)
     left = np.minimum(span - gram, at - np.repeat(starts, ends - starts)[at])
     right = np.minimum(span, end_at[at] - at)
-    ctx = common.mix64(two.of(p2, at - left, at + right) + (left * 256 + right).astype(np.uint64)) | np.uint64(1)
-    return at, h[at], ctx, left, right
+    return at, h[at], left, right
+
+
+def digests(blob: bytes, at: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128-bit digests of the contexts, as two columns; the first is never 0."""
+    raw = b"".join([blake2b(blob[a:b], digest_size=16).digest() for a, b in zip((at - left).tolist(), (at + right).tolist())])
+    both = np.frombuffer(raw, np.uint64).reshape(-1, 2)
+    return common.mix64(both[:, 0] + (left * 256 + right).astype(np.uint64)) | np.uint64(1), both[:, 1]
 
 
 def _merge(doc: np.ndarray, start: np.ndarray, end: np.ndarray):
@@ -128,7 +135,7 @@ def _merge(doc: np.ndarray, start: np.ndarray, end: np.ndarray):
     return doc[first], start[first], reach[last] - shift[first]
 
 
-ROW = "key long, ctx long, doc long, place long"
+ROW = "key long, ctx long, more long, doc long, place long"
 
 
 def _pack(pos, left, right) -> np.ndarray:
@@ -157,32 +164,33 @@ def _anchor_rows(docs: DataFrame, span: int, gram: int) -> DataFrame:
             yield group
 
     def settle(group):
-        data = np.frombuffer(b"".join(x[4] for x in group), np.uint8)
+        blob = b"".join(x[4] for x in group)
         sizes = np.array([len(x[4]) for x in group])
         ends = np.cumsum(sizes)
-        at, key, ctx, left, right = anchors_of(data, ends, span, gram)
+        at, key, left, right = anchors_of(np.frombuffer(blob, np.uint8), ends, span, gram)
         which = np.searchsorted(ends, at, side="right")
         cols = np.array([(x[0], x[1], x[2], x[3]) for x in group], np.int64)
         pos = at - (ends - sizes)[which] + cols[which, 1]
         keep = (pos >= cols[which, 2]) & (pos < cols[which, 3])
-        doc = cols[which, 0]
-        return doc[keep], pos[keep], key[keep], ctx[keep], left[keep], right[keep]
+        at, key, left, right = at[keep], key[keep], left[keep], right[keep]
+        return (cols[which, 0][keep], pos[keep], key, *digests(blob, at, left, right), left, right)
 
     def compute(part: pa.RecordBatch):
         ids = part.column(0).to_numpy(zero_copy_only=False)
         found = [settle(g) for g in pieces(ids, common.raw_texts(part, "text"))]
         if not found:
             return
-        doc, pos, key, ctx, left, right = (np.concatenate(x) for x in zip(*found))
-        order = np.lexsort((pos, doc, ctx, key))
-        doc, pos, key, ctx, left, right = (x[order] for x in (doc, pos, key, ctx, left, right))
-        first = np.concatenate(([True], (key[1:] != key[:-1]) | (ctx[1:] != ctx[:-1])))
+        doc, pos, key, ctx, more, left, right = (np.concatenate(x) for x in zip(*found))
+        order = np.lexsort((pos, doc, more, ctx, key))
+        doc, pos, key, ctx, more, left, right = (x[order] for x in (doc, pos, key, ctx, more, left, right))
+        first = np.concatenate(([True], (key[1:] != key[:-1]) | (ctx[1:] != ctx[:-1]) | (more[1:] != more[:-1])))
         rep = np.flatnonzero(first)[np.cumsum(first) - 1]
         gone = ~first & ((doc != doc[rep]) | (pos != pos[rep]))
         d, s, e = _merge(doc[gone], (pos - left)[gone], (pos + right)[gone])
+        none = np.zeros(len(d), np.int64)
         yield {
             "key": np.concatenate((key[first], common.mix64(d.astype(np.uint64)))).view(np.int64),
-            "ctx": np.concatenate((ctx[first].view(np.int64), np.zeros(len(d), np.int64))),
+            "ctx": np.concatenate((ctx[first].view(np.int64), none)), "more": np.concatenate((more[first].view(np.int64), none)),
             "doc": np.concatenate((doc[first], d)), "place": np.concatenate((_pack(pos, left, right)[first], s << 32 | e)),
         }
 
@@ -190,22 +198,22 @@ def _anchor_rows(docs: DataFrame, span: int, gram: int) -> DataFrame:
 
 
 def _settle_contexts(rows: DataFrame) -> DataFrame:
-    """Rows sorted by (key, ctx, doc, place) to intervals (kind 0: doc, a = start, b = end) and
+    """Rows sorted by (key, ctx, more, doc, place) to intervals (kind 0: doc, a = start, b = end) and
     contexts to be fetched (kind 1: key, doc, a = place)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None  # key, ctx, doc and position of the current first place, contexts so far, pending row
+        last = None  # key, context, doc and position of the current first place, contexts so far, pending row
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key, ctx, doc, place = (batch.column(i).to_numpy() for i in range(4))
+            key, ctx, more, doc, place = (batch.column(i).to_numpy() for i in range(5))
             passed = ctx == 0
             out = [(np.zeros(passed.sum(), np.int64), doc[passed], place[passed] >> 32, place[passed] & 0xFFFFFFFF, 0)]
-            key, ctx, doc, place = key[~passed], ctx[~passed], doc[~passed], place[~passed]
+            key, ctx, more, doc, place = (x[~passed] for x in (key, ctx, more, doc, place))
             if len(key):
                 go_on = last is not None and key[0] == last[0]
                 new_key = np.concatenate(([not go_on], key[1:] != key[:-1]))
-                new_ctx = new_key | np.concatenate(([not (go_on and ctx[0] == last[1])], ctx[1:] != ctx[:-1]))
+                new_ctx = new_key | np.concatenate(([not (go_on and (ctx[0], more[0]) == last[1])], (ctx[1:] != ctx[:-1]) | (more[1:] != more[:-1])))
                 reps = np.flatnonzero(new_ctx)
                 owner = np.cumsum(new_ctx) - 1
                 pos = place >> 16
@@ -230,14 +238,14 @@ def _settle_contexts(rows: DataFrame) -> DataFrame:
                     pending = (key[reps[-1]], doc[reps[-1]], place[reps[-1]])
                 elif seg[-1] > 0:
                     pending = None
-                last = (key[-1], ctx[-1], rep_doc[-1], rep_pos[-1], count[-1], pending)
+                last = (key[-1], (ctx[-1], more[-1]), rep_doc[-1], rep_pos[-1], count[-1], pending)
             cols = [np.concatenate([np.asarray(o[i], np.int64) for o in out]) for i in range(4)]
             kind = np.concatenate([np.full(len(o[0]), o[4], np.int8) for o in out])
             yield pa.RecordBatch.from_arrays([pa.array(kind), *map(pa.array, cols)], names=["kind", "key", "doc", "a", "b"])
 
     spark = rows.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(parts, "key").sortWithinPartitions("key", "ctx", "doc", "place").mapInArrow(run, "kind byte, key long, doc long, a long, b long")
+    return rows.repartition(parts, "key").sortWithinPartitions("key", "ctx", "more", "doc", "place").mapInArrow(run, "kind byte, key long, doc long, a long, b long")
 
 
 # -- the suffix sort -----------------------------------------------------------------------
@@ -250,7 +258,7 @@ class HashSuffixes:
         """strings: one row of bytes each; length: bytes in use."""
         self.bytes, self.length = strings, length
         n, width = strings.shape
-        h = hashers()[0]
+        h = hasher()
         h.powers(width)
         beyond = np.arange(width) >= length[:, None]
         terms = np.where(beyond, np.uint64(0), h.values[strings] * h.up[:width])
@@ -322,10 +330,23 @@ class HashSuffixes:
         return class_at
 
 
-def repeated(contexts: list[bytes], left: np.ndarray, span: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+def halves(span: int, gram: int) -> list[tuple[int, int]]:
+    """Least and greatest offset o of the two halves."""
+    reach = span - gram
+    return [(0, reach // 2), (reach // 2 + 1, reach)] if reach else [(0, 0)]
+
+
+def core_hash(raw: bytes, left: int, low: int, high: int, span: int) -> int | None:
+    """Hash of the bytes that all strings with offsets from low to high share; None if the context has none of them."""
+    if left < low or len(raw) - left < span - high:
+        return None
+    return int.from_bytes(blake2b(raw[left - low : left + span - high], digest_size=8, salt=b"%d" % low).digest(), "little", signed=True)
+
+
+def repeated(contexts: list[bytes], left: np.ndarray, span: int, gram: int, half: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """For contexts in order of their place: least and greatest left offset of a repeated string, -1 if none.
 
-    left: bytes of each context before its anchor.
+    left: bytes of each context before its anchor; half: the half whose offsets count for it, else all do.
     """
     n, reach = len(contexts), span - gram
     size = np.array([len(c) for c in contexts])
@@ -338,7 +359,8 @@ def repeated(contexts: list[bytes], left: np.ndarray, span: int, gram: int) -> t
     class_right, class_left = forward.classes(), backward.classes()
     low, high = np.full(n, -1), np.full(n, -1)
     for o in range(reach + 1):
-        fit = np.flatnonzero((left >= o) & (right >= span - o))
+        mine = True if half is None else half == [a <= o <= b for a, b in halves(span, gram)].index(True)
+        fit = np.flatnonzero((left >= o) & (right >= span - o) & mine)
         if len(fit) < 2:
             continue
         both = class_left(o)[fit] * (n + 1) + class_right(span - o)[fit]
@@ -352,19 +374,24 @@ def repeated(contexts: list[bytes], left: np.ndarray, span: int, gram: int) -> t
 
 
 def _solve(contexts: DataFrame, span: int, gram: int) -> DataFrame:
-    """(key, doc, pos, left, ctx bytes) to intervals (doc, a, b); keys are kept whole, about 20,000 contexts at once."""
+    """(core, half, doc, pos, left, ctx bytes) to intervals (doc, a, b); a core's contexts are kept together, about 20,000 at once."""
 
     def run(batches):
         held = []
 
         def out():
-            key, doc, pos, left, ctx = zip(*held)
-            order = np.lexsort((pos, doc, key))
-            alike = [np.array(c)[order] for c in (key, doc, pos)]  # rows that share an id are one place
+            core, half, doc, pos, left, ctx = zip(*held)
+            core, half, doc, pos, left = map(np.array, (core, half, doc, pos, left))
+            order = np.lexsort((pos, doc, half, core))
+            alike = [c[order] for c in (core, half, doc, pos)]  # rows that share an id are one place
             order = order[np.concatenate(([True], np.any([c[1:] != c[:-1] for c in alike], axis=0)))]
-            order = order[np.lexsort((np.array(pos)[order], np.array(doc)[order]))]
-            doc, pos, left = np.array(doc)[order], np.array(pos)[order], np.array(left)[order]
-            low, high = repeated([ctx[i] for i in order], left, span, gram)
+            _, which, size = np.unique(core[order], return_inverse=True, return_counts=True)
+            order = order[size[which] > 1]  # a context alone with its core holds no repeat
+            order = order[np.lexsort((pos[order], doc[order]))]
+            if not len(order):
+                return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 3, names=["doc", "a", "b"])
+            doc, pos, left, half = doc[order], pos[order], left[order], half[order]
+            low, high = repeated([ctx[i] for i in order], left, span, gram, half)
             hit = low >= 0
             d, s, e = _merge(doc[hit], (pos - high)[hit], (pos - low + span)[hit])
             return pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(s, pa.int64()), pa.array(e, pa.int64())], names=["doc", "a", "b"])
@@ -379,24 +406,29 @@ def _solve(contexts: DataFrame, span: int, gram: int) -> DataFrame:
             yield out()
 
     parts = int(contexts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return contexts.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(run, "doc long, a long, b long")
+    return contexts.repartition(parts, "core").sortWithinPartitions("core").mapInArrow(run, "doc long, a long, b long")
 
 
-def _fetch(wanted: DataFrame, docs: DataFrame) -> DataFrame:
-    """Context bytes of wanted places (key, doc, place)."""
-    lists = wanted.groupBy("doc").agg(F.collect_list("key").alias("keys"), F.collect_list("place").alias("places"))
-    both = docs.join(lists, docs.id == lists.doc).select("id", "text", "keys", "places")
+def _fetch(wanted: DataFrame, docs: DataFrame, span: int, gram: int) -> DataFrame:
+    """Context bytes of wanted places (doc, place), once for each half whose strings they may hold."""
+    lists = wanted.groupBy("doc").agg(F.collect_list("place").alias("places"))
+    both = docs.join(lists, docs.id == lists.doc).select("id", "text", "places")
+    parts = halves(span, gram)
 
     def compute(part: pa.RecordBatch):
-        cols = [[], [], [], [], []]
-        for doc, raw, keys, places in zip(part.column(0).to_pylist(), common.raw_texts(part, "text"), part.column(2).to_pylist(), part.column(3).to_pylist()):
-            for key, place in zip(keys, places):
+        cols = [[], [], [], [], [], []]
+        for doc, raw, places in zip(part.column(0).to_pylist(), common.raw_texts(part, "text"), part.column(2).to_pylist()):
+            for place in places:
                 pos, left, right = place >> 16, (place >> 8) & 255, place & 255
-                for col, value in zip(cols, (key, doc, pos, left, raw[pos - left : pos + right])):
-                    col.append(value)
-        yield dict(zip(("key", "doc", "pos", "left", "ctx"), [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()))]))
+                ctx = raw[pos - left : pos + right]
+                for half, (low, high) in enumerate(parts):
+                    core = core_hash(ctx, left, low, high, span)
+                    if core is not None:
+                        for col, value in zip(cols, (core, half, doc, pos, left, ctx)):
+                            col.append(value)
+        yield dict(zip(("core", "half", "doc", "pos", "left", "ctx"), [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary()))]))
 
-    return common.emit_rows(both, "text", "key long, doc long, pos long, left int, ctx binary", compute)
+    return common.emit_rows(both, "text", "core long, half int, doc long, pos long, left int, ctx binary", compute)
 
 
 def repeats(docs: DataFrame, span: int = 100, gram: int = 32) -> DataFrame:
@@ -405,8 +437,8 @@ def repeats(docs: DataFrame, span: int = 100, gram: int = 32) -> DataFrame:
         raise ValueError("1 <= gram < span <= 255")
     spark = docs.sparkSession
     settled = common.Stage(_settle_contexts(_anchor_rows(docs, span, gram)), "settled")
-    wanted = settled.df.filter("kind = 1").select("key", "doc", F.col("a").alias("place"))
-    solved = common.Stage(_solve(_fetch(wanted, docs), span, gram), "solved")
+    wanted = settled.df.filter("kind = 1").select("doc", F.col("a").alias("place"))
+    solved = common.Stage(_solve(_fetch(wanted, docs, span, gram), span, gram), "solved")
     return settled.df.filter("kind = 0").select("doc", "a", "b").unionByName(solved.df)
 
 
