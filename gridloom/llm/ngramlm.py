@@ -45,7 +45,7 @@ from pyspark.sql import types as T
 from gridloom.llm import common
 
 END = np.uint64(xxhash.xxh3_64_intdigest(b"\x00end"))
-GROUP_BYTES, OWNER_BYTES = 12 << 20, 16 << 20
+GROUP_BYTES, OWNER_BYTES = 6 << 20, 8 << 20
 BINS, STEP, BUCKETS = 400, 0.25, 96
 
 
@@ -285,8 +285,7 @@ def judge(counted: DataFrame, mixture: Mixture) -> DataFrame:
 def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_col: str = "held_out") -> tuple[common.Stage, common.Stage]:
     """(counts of every token of each row, unigram statistics); rows with held_col true teach nothing."""
     size = docs.agg(F.sum(F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)))).first()[0] or 0
-    groups = max(1, math.ceil(size / min(GROUP_BYTES, max(1 << 20, size // 64))))
-    owners = max(1, min(groups, 64), math.ceil(size / OWNER_BYTES))
+    groups, owners = max(1, math.ceil(size / GROUP_BYTES)), max(1, math.ceil(size / OWNER_BYTES))
     raw = F.col(text_col).cast("binary")
     src = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(held_col), F.lit(False)).alias("held"), raw.alias("raw"), F.pmod(F.xxhash64(id_col, text_col), F.lit(groups)).alias("g"))
     dealt = common.Bucketed(src, "g", groups, "lm-docs")
