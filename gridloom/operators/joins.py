@@ -17,7 +17,7 @@ from pyspark.sql.window import Window
 from gridloom.functions import distance as dist
 from gridloom.functions import geometry as geo
 from gridloom.functions import kernels
-from gridloom.operators.boxjoin import Extent, box_join, cell, extent_of, valid
+from gridloom.operators.boxjoin import Extent, box_join, cell, extent_of, spread, valid
 from gridloom.operators.staging import staged
 
 #: A target side may be broadcast if its bytes, counted with its extent, times the most keys of a row are at most this many.
@@ -52,7 +52,7 @@ def point_side(target: DataFrame, names: list[str], x: str, y: str) -> DataFrame
 
 def polygon_side(target: DataFrame, names: list[str], geometry: str) -> DataFrame:
     g = F.col("_tg")
-    df = target.select(*[F.col(f"`{c}`").alias(f"t_{c}") for c in names], F.col(f"`{geometry}`").alias("_tg")).filter("_tg is not null and size(_tg) > 0")
+    df = spread(target).select(*[F.col(f"`{c}`").alias(f"t_{c}") for c in names], F.col(f"`{geometry}`").alias("_tg")).filter("_tg is not null and size(_tg) > 0")
     df = df.withColumn("_tflat", geo.is_rectangle(g))
     # exploded, so that the bounds are found once for all their uses
     df = df.withColumn("_tbox", F.explode(F.array(F.when(F.col("_tflat"), geo.rectangle_bounds(g)).otherwise(geo.bounds(g)))))

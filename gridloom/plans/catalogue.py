@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gridloom.functions import distance as dist
 from gridloom.functions import geometry as geo
 from gridloom.functions import kernels, wkb
+from gridloom.functions import sql as sql_functions
 from gridloom.operators import aggregates as agg
 from gridloom.operators.staging import fresh_path
 from gridloom.plans import fixtures as fx
@@ -454,6 +455,23 @@ def stream_window_counts(spark, d):
     return spark.read.parquet(f"{out}/rows").select(F.col("window.start").cast("timestamp_ntz").alias("day"), "pid", "n")
 
 
+@register(f"select id, x from ({C}) where (x between 0 and 50 and y between 0 and 50) and not (x between 20 and 30 and y between 0 and 100) union all select id, x from ({C}) where x between 90 and 95")
+def set_operations(spark, d):
+    """Rows in one box but not in another, with the rows of a third."""
+    c = customers(spark, d)
+    both = c.range_filter(0, 0, 50, 50).subtract(c.range_filter(0, 0, 50, 50).intersect(c.range_filter(20, 0, 30, 100)))
+    return both.union(c.range_filter(90, -1000, 95, 1000)).df.select("id", "x")
+
+
+@register(f"""select a.pid, round(a.area, 6) area, h.pid is not null inside, gl.d from (select pid, sum(s) area from (select pid, kind, (case when kind = 'hole' then -1 else 1 end) * abs(sum(ax * b_y - bx * ay)) / 2 s from {edges_sql()} group by 1, 2) group by 1) a
+left join ({hits_sql('select 1 id, cast(41.5 as double) x, cast(52.5 as double) y')}) h on h.pid = a.pid join (select pid, sqrt(x0 * x0 + y0 * y0) d from ({Z})) gl on gl.pid = a.pid""")
+def sql_text(spark, d):
+    """Areas, containment and distances asked in SQL text with the registered functions."""
+    sql_functions.register(spark)
+    return spark.sql("""select pid, round(gl_area(geom), 6) as area, gl_contains(geom, 41.5D, 52.5D) as inside, gl_distance(0, 0, geom[0][0][0].x, geom[0][0][0].y) as d
+        from {zones} where gl_in_box(geom[0][0][0].x, geom[0][0][0].y, -1, -1, 200, 200)""", zones=shapes(spark, d).df)
+
+
 @register(f"select id, x from ({C}) where x between 0 and 60 and y between 0 and 60")
 def collect_in_batches(spark, d):
     """A plan's rows fetched in lists of 40 and put together again."""

@@ -187,6 +187,18 @@ class SpatialFrame:
             rows = rows.withColumn(GEOM, F.col(f"`{self.geom_col}`"))
         return self._like(self._df.unionByName(rows))
 
+    def union(self, other: "SpatialFrame") -> "SpatialFrame":
+        """All rows of both frames, repeats included; columns meet by name."""
+        return self._like(self._df.unionByName(other._df))
+
+    def intersect(self, other: "SpatialFrame") -> "SpatialFrame":
+        """Distinct rows that both frames hold, geometry included."""
+        return self._like(self._df.intersect(other._df.select(self._df.columns)))
+
+    def subtract(self, other: "SpatialFrame") -> "SpatialFrame":
+        """Distinct rows that the other frame does not hold."""
+        return self._like(self._df.subtract(other._df.select(self._df.columns)))
+
     def flush(self) -> "SpatialFrame":
         """Cut the lineage of appended rows by a reliable checkpoint where a folder is set; else cache."""
         spark = self._df.sparkSession

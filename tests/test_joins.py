@@ -157,6 +157,37 @@ def test_stream_of_points_against_zones(spark, tmp_path):
     assert sum(seen) == 50
 
 
+def test_stream_near_points_and_windows(spark, tmp_path):
+    from gridloom.streaming import joins as sj
+
+    rng = random.Random(3)
+    t, q, src = cloud(rng, 40), cloud(rng, 60), str(tmp_path / "in")
+    late = spark.createDataFrame([(i, x, y, 3600 * (i % 5)) for i, (x, y) in enumerate(q)], "q long, qx double, qy double, s long")
+    late.selectExpr("q", "qx", "qy", "timestamp_seconds(s) as ts").write.parquet(src)
+    stream = spark.readStream.schema("q long, qx double, qy double, ts timestamp").parquet(src)
+    target = SpatialFrame(points(spark, t), "idx", "idy")
+    out = str(tmp_path / "near")
+    met = sj.within_distance_join(stream, "qx", "qy", target, 9.0).select("q", "id")
+    met.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "s1")).trigger(availableNow=True).start().awaitTermination()
+    assert rows(spark.read.parquet(out), "q", "id") == sorted((i, j) for i, a in enumerate(q) for j, b in enumerate(t) if math.hypot(a[0] - b[0], a[1] - b[1]) <= 9)
+    zone = polygon_frame(spark, [geo.box(-50, -50, 0, 50), geo.box(0, -50, 50, 50)])
+    seen = {}
+    counts = sj.windowed_zone_counts(stream, "ts", "qx", "qy", zone, "pid", "1 hour", "2 hours")
+    keep = lambda df, i: seen.update({(r["window"]["start"].hour, r["pid"]): r["n"] for r in df.collect()})
+    counts.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", str(tmp_path / "s2")).trigger(availableNow=True).start().awaitTermination()
+    want = {}
+    for i, (x, _) in enumerate(q):
+        want[i % 5, int(x >= 0)] = want.get((i % 5, int(x >= 0)), 0) + 1
+    assert sum(seen.values()) == 60 and sorted(seen.values()) == sorted(want.values())
+
+
+def test_set_operations_keep_the_geometry(spark):
+    a, b = polygon_frame(spark, [geo.box(0, 0, 1, 1), geo.box(1, 1, 2, 2)]), polygon_frame(spark, [geo.box(0, 0, 1, 1), geo.box(5, 5, 7, 7)])
+    assert rows(a.intersect(b).polygon_areas(), "pid", "area") == [(0, 1.0)]
+    assert rows(a.subtract(b).polygon_areas(), "pid", "area") == [(1, 1.0)]
+    assert rows(a.union(b).polygon_areas(), "pid", "area") == [(0, 1.0), (0, 1.0), (1, 1.0), (1, 4.0)]
+
+
 def test_sources(spark, tmp_path):
     import numpy as np
     import pyarrow as pa
