@@ -14,8 +14,8 @@ This happens within each batch of documents, so that passages that very many doc
 share are merged before the shuffle, and then for all documents, streaming over rows sorted
 by hash. Only contexts that differ although their grams agree are fetched as bytes. A string
 that leaves the anchor o bytes in holds the core of its half: the gram with what lies right of it up to half the reach
-(small o), or with as much left of it (large o). Contexts are therefore dealt by the
-hashes of their two cores and meet only those that share one, however common the gram.
+(small o), or with as much left of it (large o). Contexts of a gram that more than ``HOT`` of them
+share are therefore dealt by the hashes of their two cores and meet only those that share one; others meet by gram.
 
 Suffix sort. There, the suffixes right of the anchor and the reversed prefixes left of it
 are each sorted by a merge sort whose comparisons find the common extension by binary search
@@ -44,6 +44,7 @@ from pyspark.sql import types as T
 from gridloom.llm import common
 
 PIECE = 1 << 20
+HOT = 512
 _BASE = 0x9E3779B97F4A7C15
 _MAX = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -346,7 +347,7 @@ def core_hash(raw: bytes, left: int, low: int, high: int, span: int) -> int | No
 def repeated(contexts: list[bytes], left: np.ndarray, span: int, gram: int, half: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """For contexts in order of their place: least and greatest left offset of a repeated string, -1 if none.
 
-    left: bytes of each context before its anchor; half: the half whose offsets count for it, else all do.
+    left: bytes of each context before its anchor; half: the half whose offsets count for it, -1 or None for all.
     """
     n, reach = len(contexts), span - gram
     size = np.array([len(c) for c in contexts])
@@ -359,7 +360,7 @@ def repeated(contexts: list[bytes], left: np.ndarray, span: int, gram: int, half
     class_right, class_left = forward.classes(), backward.classes()
     low, high = np.full(n, -1), np.full(n, -1)
     for o in range(reach + 1):
-        mine = True if half is None else half == [a <= o <= b for a, b in halves(span, gram)].index(True)
+        mine = True if half is None else (half < 0) | (half == [a <= o <= b for a, b in halves(span, gram)].index(True))
         fit = np.flatnonzero((left >= o) & (right >= span - o) & mine)
         if len(fit) < 2:
             continue
@@ -410,22 +411,27 @@ def _solve(contexts: DataFrame, span: int, gram: int) -> DataFrame:
 
 
 def _fetch(wanted: DataFrame, docs: DataFrame, span: int, gram: int) -> DataFrame:
-    """Context bytes of wanted places (doc, place), once for each half whose strings they may hold."""
-    lists = wanted.groupBy("doc").agg(F.collect_list("place").alias("places"))
+    """Context bytes of wanted places (key, doc, place): once by key, or for a hot key once for each half whose strings they may hold."""
+    hot = common.Stage(wanted.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > HOT).select(F.col("key").alias("hot")), "hot")
+    lists = wanted.join(hot.df, F.col("key") == F.col("hot"), "left").groupBy("doc").agg(F.collect_list(F.struct("key", "place", F.col("hot").isNotNull().alias("split"))).alias("places"))
     both = docs.join(lists, docs.id == lists.doc).select("id", "text", "places")
     parts = halves(span, gram)
 
     def compute(part: pa.RecordBatch):
         cols = [[], [], [], [], [], []]
-        for doc, raw, places in zip(part.column(0).to_pylist(), common.raw_texts(part, "text"), part.column(2).to_pylist()):
-            for place in places:
+        found = part.column(2)
+        keys, places, split = (found.flatten().field(i).to_pylist() for i in range(3))
+        counts = np.diff(found.offsets.to_numpy()).tolist()
+        at = 0
+        for doc, raw, count in zip(part.column(0).to_pylist(), common.raw_texts(part, "text"), counts):
+            for key, place, hot in zip(keys[at : at + count], places[at : at + count], split[at : at + count]):
                 pos, left, right = place >> 16, (place >> 8) & 255, place & 255
                 ctx = raw[pos - left : pos + right]
-                for half, (low, high) in enumerate(parts):
-                    core = core_hash(ctx, left, low, high, span)
+                for core, half in [(core_hash(ctx, left, *ends, span), half) for half, ends in enumerate(parts)] if hot else [(key, -1)]:
                     if core is not None:
                         for col, value in zip(cols, (core, half, doc, pos, left, ctx)):
                             col.append(value)
+            at += count
         yield dict(zip(("core", "half", "doc", "pos", "left", "ctx"), [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary()))]))
 
     return common.emit_rows(both, "text", "core long, half int, doc long, pos long, left int, ctx binary", compute)
@@ -437,7 +443,7 @@ def repeats(docs: DataFrame, span: int = 100, gram: int = 32) -> DataFrame:
         raise ValueError("1 <= gram < span <= 255")
     spark = docs.sparkSession
     settled = common.Stage(_settle_contexts(_anchor_rows(docs, span, gram)), "settled")
-    wanted = settled.df.filter("kind = 1").select("doc", F.col("a").alias("place"))
+    wanted = settled.df.filter("kind = 1").select("key", "doc", F.col("a").alias("place"))
     solved = common.Stage(_solve(_fetch(wanted, docs, span, gram), span, gram), "solved")
     return settled.df.filter("kind = 0").select("doc", "a", "b").unionByName(solved.df)
 

@@ -67,9 +67,10 @@ def texts(rng, n):
     return out + ["a" * 70, "ab" * 40, "", passage, passage]
 
 
-def test_matches_brute_force(spark):
+def test_matches_brute_force(spark, monkeypatch):
     rng = random.Random(2)
-    for span, gram in ((10, 4), (12, 1), (20, 19)):
+    for span, gram, hot in ((10, 4, 512), (12, 1, 1), (20, 19, 3), (10, 4, 2)):
+        monkeypatch.setattr(sd, "HOT", hot)
         rows = list(enumerate(texts(rng, 25))) + [(100, None)]
         rng.shuffle(rows)
         df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
