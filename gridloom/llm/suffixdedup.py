@@ -255,9 +255,10 @@ def _settle_contexts(rows: DataFrame) -> DataFrame:
 class HashSuffixes:
     """Strings of bounded length with prefix hashes; compared by binary search for their common extension."""
 
-    def __init__(self, strings: np.ndarray, length: np.ndarray):
-        """strings: one row of bytes each; length: bytes in use."""
+    def __init__(self, strings: np.ndarray, length: np.ndarray, group: np.ndarray | None = None):
+        """strings: one row of bytes each; length: bytes in use; group: numbers of what is sorted apart, smaller ones first."""
         self.bytes, self.length = strings, length
+        self.group = np.zeros(len(length), np.int64) if group is None else group
         n, width = strings.shape
         h = hasher()
         h.powers(width)
@@ -277,17 +278,21 @@ class HashSuffixes:
         return low
 
     def less(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        """Whether string i sorts before string j; shorter ones first."""
+        """Whether string i sorts before string j; shorter ones first, smaller groups before all."""
+        out = self.group[i] < self.group[j]
+        alike = np.flatnonzero(self.group[i] == self.group[j])
+        i, j = i[alike], j[alike]
         at = self.common(i, j)
         a_end, b_end = at >= self.length[i], at >= self.length[j]
         width = self.bytes.shape[1] - 1
         a, b = self.bytes[i, np.minimum(at, width)], self.bytes[j, np.minimum(at, width)]
-        return np.where(a_end, ~b_end, ~b_end & (a < b))
+        out[alike] = np.where(a_end, ~b_end, ~b_end & (a < b))
+        return out
 
     def sort(self) -> np.ndarray:
         """Stable bottom-up merge sort; the merges of one width are made side by side."""
         n = len(self.length)
-        order, width = np.arange(n), 1
+        order, width = np.argsort(self.group, kind="stable"), 1
         while width < n:
             index = np.arange(n)
             base = index // (2 * width) * (2 * width)
@@ -309,23 +314,26 @@ class HashSuffixes:
         return order
 
     def neighbours(self, order: np.ndarray) -> np.ndarray:
-        """Common extension of each sorted string with the one before it, verified on the bytes."""
+        """Common extension of each sorted string with the one before it in its group, verified on the bytes."""
         out = np.zeros(len(order), np.int64)
         if len(order) > 1:
             i, j = order[:-1], order[1:]
+            alike = np.flatnonzero(self.group[i] == self.group[j])
+            i, j = i[alike], j[alike]
             got = self.common(i, j)
             differ = (self.bytes[i] != self.bytes[j]) & (np.arange(self.bytes.shape[1]) < got[:, None])
-            out[1:] = np.where(differ.any(1), differ.argmax(1), got)
+            out[1 + alike] = np.where(differ.any(1), differ.argmax(1), got)
         return out
 
     def classes(self):
         """order and neighbour extensions; class_at(depth) numbers equal prefixes of that depth."""
         order = self.sort()
         ext = self.neighbours(order)
+        fresh = np.concatenate(([True], self.group[order][1:] != self.group[order][:-1]))[: len(order)]
 
         def class_at(depth: int) -> np.ndarray:
             out = np.empty(len(order), np.int64)
-            out[order] = np.cumsum(ext < depth)
+            out[order] = np.cumsum((ext < depth) | fresh)
             return out
 
         return class_at
@@ -344,10 +352,11 @@ def core_hash(raw: bytes, left: int, low: int, high: int, span: int) -> int | No
     return int.from_bytes(blake2b(raw[left - low : left + span - high], digest_size=8, salt=b"%d" % low).digest(), "little", signed=True)
 
 
-def repeated(contexts: list[bytes], left: np.ndarray, span: int, gram: int, half: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def repeated(contexts: list[bytes], left: np.ndarray, span: int, gram: int, half: np.ndarray | None = None, group: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """For contexts in order of their place: least and greatest left offset of a repeated string, -1 if none.
 
-    left: bytes of each context before its anchor; half: the half whose offsets count for it, -1 or None for all.
+    left: bytes of each context before its anchor; half: the half whose offsets count for it, -1 or None for all;
+    group: contexts of different groups share no string.
     """
     n, reach = len(contexts), span - gram
     size = np.array([len(c) for c in contexts])
@@ -355,8 +364,8 @@ def repeated(contexts: list[bytes], left: np.ndarray, span: int, gram: int, half
     flat = np.frombuffer(b"".join(contexts) + b"\0" * (2 * span), np.uint8)
     right = size - left
     anchor = starts + left
-    forward = HashSuffixes(flat[np.minimum(anchor[:, None] + np.arange(span), len(flat) - 1)], right)
-    backward = HashSuffixes(flat[np.maximum(anchor[:, None] - 1 - np.arange(max(1, reach)), 0)], left)
+    forward = HashSuffixes(flat[np.minimum(anchor[:, None] + np.arange(span), len(flat) - 1)], right, group)
+    backward = HashSuffixes(flat[np.maximum(anchor[:, None] - 1 - np.arange(max(1, reach)), 0)], left, group)
     class_right, class_left = forward.classes(), backward.classes()
     low, high = np.full(n, -1), np.full(n, -1)
     for o in range(reach + 1):
@@ -387,12 +396,14 @@ def _solve(contexts: DataFrame, span: int, gram: int) -> DataFrame:
             alike = [c[order] for c in (core, half, doc, pos)]  # rows that share an id are one place
             order = order[np.concatenate(([True], np.any([c[1:] != c[:-1] for c in alike], axis=0)))]
             _, which, size = np.unique(core[order], return_inverse=True, return_counts=True)
+            which_of = np.zeros(len(core), np.int64)
+            which_of[order] = which
             order = order[size[which] > 1]  # a context alone with its core holds no repeat
             order = order[np.lexsort((pos[order], doc[order]))]
             if not len(order):
                 return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 3, names=["doc", "a", "b"])
-            doc, pos, left, half = doc[order], pos[order], left[order], half[order]
-            low, high = repeated([ctx[i] for i in order], left, span, gram, half)
+            doc, pos, left, half, which = doc[order], pos[order], left[order], half[order], which_of[order]
+            low, high = repeated([ctx[i] for i in order], left, span, gram, half, which)
             hit = low >= 0
             d, s, e = _merge(doc[hit], (pos - high)[hit], (pos - low + span)[hit])
             return pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(s, pa.int64()), pa.array(e, pa.int64())], names=["doc", "a", "b"])
