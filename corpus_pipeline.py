@@ -37,8 +37,8 @@ def near_dedup(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     Of rows that share a doc_id, which act as one document, the least text stays.
     """
     groups = common.stage(neardup.near_duplicates(docs, shingle=5, percent=80).select("doc_id", "kept"), "groups")
-    gone = groups.filter(~F.col("kept")).select("doc_id").distinct()
-    once = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    gone = common.stage(groups.filter(~F.col("kept")).select("doc_id").distinct(), "gone")
+    once = common.without_keys(docs, gone, "doc_id")
     repeated = common.stage(groups.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 and doc_id is not null").select("doc_id"), "repeated")
     if repeated.isEmpty():
         return once

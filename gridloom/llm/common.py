@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,6 +17,9 @@ from gridloom.operators.staging import at_end, delete, fresh_path
 #: Text bytes handled at once in a Python worker.
 SLICE_BYTES = 2 << 20
 
+#: Words of 64 bits that a sieve has at most (8 MB). With over 4 million keys it lets more rows through, never fewer.
+SIEVE_WORDS = 1 << 20
+
 ASCII_UPPER = bytes(range(65, 91))
 ASCII_LOWER = bytes(range(97, 123))
 
@@ -85,6 +88,50 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     return Stage(df, name).df
 
 
+# -- joins of large rows with few keys -------------------------------------------------
+
+
+def _place(key: Column, words: int) -> tuple[Column, Column]:
+    """A key's word in a sieve, and the three bits it has there."""
+    h = F.xxhash64(key)
+    one = F.lit(1).cast("long")
+    first, second, third = (F.call_function("shiftleft", one, F.pmod(F.shiftrightunsigned(h, by), F.lit(64)).cast("int")) for by in (58, 52, 46))
+    return F.pmod(h, F.lit(words)).cast("int"), first.bitwiseOR(second).bitwiseOR(third)
+
+
+class Sieve:
+    """Blocked Bloom filter of a table's keys, as one row of bounded size; keys is read twice."""
+
+    def __init__(self, keys: DataFrame, key: str):
+        self.key, self.kind = key, keys.schema[key].dataType
+        self.words = min(SIEVE_WORDS, 64 << (keys.count() // 256).bit_length())
+        self.name = f"sieve_{uuid.uuid4().hex}"
+        place, bits = _place(F.col(key), self.words)
+        none = keys.sparkSession.range(self.words).select(F.col("id").cast("int").alias("place"), F.lit(0).cast("long").alias("bits"))
+        filled = keys.select(place.alias("place"), bits.alias("bits")).union(none).groupBy("place").agg(F.bit_or("bits").alias("bits"))
+        row = F.transform(F.sort_array(F.collect_list(F.struct("place", "bits"))), lambda x: x["bits"])
+        self.df = stage(filled.agg(row.alias(self.name)), "sieve")
+
+    def _split(self, df: DataFrame, how: str) -> DataFrame:
+        place, bits = _place(F.col(self.key).cast(self.kind), self.words)
+        return df.join(F.broadcast(self.df), F.get(self.name, place).bitwiseAND(bits) == bits, how)
+
+    def passed(self, df: DataFrame) -> DataFrame:
+        """Every row whose key is among the keys, and a few others."""
+        return self._split(df, "left_semi")
+
+    def held(self, df: DataFrame) -> DataFrame:
+        """The rows that did not pass; none has a key among the keys."""
+        return self._split(df, "left_anti")
+
+
+def without_keys(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """Left anti join; only rows that pass a sieve of the keys are shuffled. Both frames are read twice."""
+    sieve = Sieve(keys, key)
+    checked = sieve.passed(df).join(keys.select(key), key, "left_anti")
+    return sieve.held(df).select(df.columns).union(checked.select(df.columns))
+
+
 # -- Arrow mapping -----------------------------------------------------------------------
 
 

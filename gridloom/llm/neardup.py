@@ -221,14 +221,16 @@ def _links(src: DataFrame, heads: DataFrame, shingle: int, percent: int) -> comm
     """Components (node, comp) of all links between the classes' heads; None if there is no bucket."""
     cells = heads.select("id", F.explode("bands").alias("key"))
     first = common.Stage(cells.groupBy("key").agg(F.min("id").alias("pid"), F.max("id").alias("last")).filter("pid <> last").select("key", "pid"), "first")
-    buckets = common.Stage(cells.join(first.df, "key"), "buckets")
+    buckets = common.Stage(common.Sieve(first.df, "key").passed(cells).join(first.df, "key"), "buckets")
     first.drop()
     if buckets.df.isEmpty():
         buckets.drop()
         return None
-    # merge joins at every size, so that what is shuffled grows evenly with the input
-    wanted = buckets.df.select("id").distinct().hint("merge")
-    texts = common.Stage(src.join(wanted, "id", "left_semi").withColumn("h", F.xxhash64("text")).dropDuplicates(["id", "h"]).drop("h"), "texts")
+    # texts outside all buckets are not shuffled; merge joins at every size, so that what is shuffled grows evenly with the input
+    wanted = common.Stage(buckets.df.select("id").distinct(), "wanted")
+    met = common.Sieve(wanted.df, "id").passed(src).join(wanted.df.hint("merge"), "id", "left_semi")
+    texts = common.Stage(met.withColumn("h", F.xxhash64("text")).dropDuplicates(["id", "h"]).drop("h"), "texts")
+    wanted.drop()
     sketched = heads.select("id", "n", "sketch")
     pivot = sketched.select(F.col("id").alias("pid"), F.col("n").alias("pn"), F.col("sketch").alias("psketch"))
 
