@@ -43,3 +43,16 @@ def test_knn_needs_few_rows_of_a_geometry(case):
         assert rows(got, "id", "pid") == sorted(want)
         worst = max(abs(r["distance_to_polygon"] - distance(polys[r["pid"]], *pts[r["id"]])) for r in got.collect())
         assert worst < 1e-9
+
+
+def test_pairs_of_repeated_polygons(case):
+    polys, _, frame, _ = case
+    pairs = joins.intersecting_pairs(side_of(frame), F.col("t_pid"))
+    edges = [kernels.edge_array(geo.edges_of_parts(p)) for p in polys]
+    want = [(a, b) for a in range(len(polys)) for b in range(a + 1, len(polys)) if kernels.intersects(edges[a], edges[b])]
+    assert rows(pairs, "l__o", "r__o") == want
+    numbered = frame.intersects_pairs()
+    assert numbered.count() == len(want) and numbered.filter("left >= right").isEmpty()
+    for r in pairs.collect():
+        a, b = edges[r["l__o"]], edges[r["r__o"]]
+        assert abs(r["overlap_area"] - kernels.overlap_area(a, b)) < 1e-6
