@@ -56,3 +56,25 @@ def test_pairs_of_repeated_polygons(case):
     for r in pairs.collect():
         a, b = edges[r["l__o"]], edges[r["r__o"]]
         assert abs(r["overlap_area"] - kernels.overlap_area(a, b)) < 1e-6
+
+
+@pytest.mark.parametrize("reach", [0.0, 1.5])
+def test_joins_of_repeated_polygons(case, reach):
+    polys, pts, frame, probes = case
+    plan = frame.lazy().polygon_within_distance_join(probes, "idx", "idy", reach)
+    want = sorted((i, p) for i, (x, y) in enumerate(pts) for p in range(len(polys)) if distance(polys[p], x, y) <= reach)
+    assert rows(plan.to_df(), "id", "pid") == want
+    if not reach:
+        assert rows(frame.lazy().within_join(probes, "idx", "idy").to_df(), "id", "pid") == want
+
+
+def test_repeated_wkb_is_scanned_joined_and_written(spark, case, tmp_path):
+    from gridloom.functions import wkb
+
+    polys, pts, _, probes = case
+    spark.createDataFrame([(i, bytearray(wkb.encode_polygon(p))) for i, p in enumerate(polys)], "pid long, wkb binary").write.parquet(str(tmp_path / "zones"))
+    frame = SpatialFrame.scan_parquet(spark, str(tmp_path / "zones"), "wkb", "polygon")
+    assert joins.polygon_side(frame._df, ["pid", "wkb"], GEOM).rows.count() == 12
+    frame.lazy().within_join(probes, "idx", "idy").select("id", "pid").sink_parquet(str(tmp_path / "out"))
+    want = sorted((i, p) for i, (x, y) in enumerate(pts) for p in range(len(polys)) if distance(polys[p], x, y) == 0)
+    assert rows(spark.read.parquet(str(tmp_path / "out")), "id", "pid") == want
