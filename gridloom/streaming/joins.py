@@ -11,8 +11,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from gridloom.operators import joins
+from gridloom.operators.staging import staged
 from gridloom.plans.frame import GEOM, SpatialFrame
 
 
@@ -40,6 +41,19 @@ def each_batch_knn(target: SpatialFrame, x: str, y: str, k: int, sink: Callable[
 
 
 def windowed_zone_counts(stream: DataFrame, ts: str, x: str, y: str, zones: SpatialFrame, zone_col: str, window: str = "1 hour", late: str = "2 hours") -> DataFrame:
-    """Points per zone and tumbling window, with a watermark for late rows."""
-    met = within_join(stream.withWatermark(ts, late), x, y, zones)
-    return met.groupBy(F.window(F.col(ts), window).alias("window"), F.col(zone_col)).agg(F.count(F.lit(1)).alias("n"))
+    """Points per zone and tumbling window, with a watermark for late rows.
+
+    The state holds a row for each window and distinct geometry, which becomes rows of zones only as it
+    leaves the aggregate; zones of several geometries are counted by themselves.
+    """
+    shapes, members = zones.distinct_shapes("_one")
+    held = members.groupBy("_one", F.col(f"`{zone_col}`").alias("_zone")).agg(F.count("*").alias("_w"))
+    several = F.count("*").over(Window.partitionBy("_zone")) > 1
+    held = staged(held.withColumn("_several", several), "zones")
+    alone = held.filter("not _several").select("_one", F.col("_zone").alias("_own"), F.col("_w").alias("_times"))
+    own = shapes._df.join(alone, "_one", "left_semi").select(GEOM, "_one", F.lit(None).cast(held.schema["_zone"].dataType).alias("_zone"), F.lit(1).cast("long").alias("_w"))
+    counted = own.unionByName(shapes._df.join(held.filter("_several"), "_one").select(GEOM, F.lit(None).cast("long").alias("_one"), "_zone", "_w"))
+    met = within_join(stream.withWatermark(ts, late), x, y, SpatialFrame._make(counted, "polygon", geom_col=GEOM, hidden=(GEOM,)))
+    counts = met.groupBy(F.window(F.col(ts), window).alias("window"), "_one", "_zone").agg(F.sum("_w").alias("n"))
+    zone = F.when(F.col("_one").isNull(), F.col("_zone")).otherwise(F.col("_own"))
+    return counts.join(alone, "_one", "left").select("window", zone.alias(zone_col), (F.col("n") * F.coalesce("_times", F.lit(1))).alias("n"))
