@@ -1,0 +1,18 @@
+import math
+import random
+
+from gridloom.functions import geometry as geo
+from gridloom.operators import boxjoin, joins
+from tests.test_joins import points, polygon_frame, rows
+
+
+def test_dense_boxes_meet_coarse_cells_first(spark, monkeypatch):
+    rng = random.Random(6)
+    boxes = [(x, y, x + rng.uniform(1, 2), y + rng.uniform(1, 2)) for x, y in ((rng.uniform(0, 6), rng.uniform(0, 6)) for _ in range(400))]
+    pts = [(rng.uniform(-1, 9), rng.uniform(-1, 9)) for _ in range(150)]
+    gap = lambda b, x, y: math.hypot(max(b[0] - x, x - b[2], 0), max(b[1] - y, y - b[3], 0))
+    seen, whole = [], boxjoin.box_join
+    monkeypatch.setattr(joins, "box_join", lambda left, *rest, **more: seen.append(left.count()) or whole(left, *rest, **more))
+    got = polygon_frame(spark, [geo.box(*b) for b in boxes]).lazy().polygon_knn_join(points(spark, pts), "idx", "idy", 5, tie="pid").to_df()
+    assert rows(got, "id", "pid") == sorted((i, p) for i, (x, y) in enumerate(pts) for _, p in sorted((gap(b, x, y), p) for p, b in enumerate(boxes))[:5])
+    assert seen[0] < len({(x // 0.5, y // 0.5) for x, y in pts}) / 2
